@@ -10,6 +10,8 @@ from .common import table
 from .decontaminate import find_contamination
 from .line_dedup import remove_repeated_lines
 from .packing import pack_documents
+from .quality_model import score_quality
+from .quality_rules import judge
 
 
 def tokenizer_path() -> str:
@@ -18,10 +20,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents")).drop("text", "clean_text")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -51,6 +61,50 @@ FROM doc_shingle JOIN item_shingle USING (k, g) JOIN item_size USING (item_id)
 GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n - 1e-9
 """
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+gram AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+hit AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM gram),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM hit WHERE n > 1) GROUP BY doc_id),
+line AS (
+  SELECT doc_id, x, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    length(regexp_replace(x, '[^ \t]', '', 'g')) + 1 AS n,
+    length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS symbols,
+    length(regexp_replace(x, '[^!?]', '', 'g')) AS shouts,
+    length(regexp_replace(x, '[^.,;:!?…]', '', 'g')) AS marks,
+    length(regexp_replace(x, '[^|»›·•]', '', 'g')) AS seps
+  FROM (SELECT doc_id, unnest(l) AS x FROM d)),
+judged AS (
+  SELECT doc_id, length(x) AS c,
+    symbols > 0.3 * n OR (shouts > 0.3 * n AND shouts >= 3) OR (n >= 10 AND marks = 0)
+    OR (seps >= 3 AND seps > 0.2 * n)
+    OR (n <= 10 AND NOT regexp_matches(rtrim(x, ' '), '[.!?…]$')
+      AND regexp_matches(low, '(^|[^a-z])(home|menu|log in|login|sign in|sign up|register|next page|previous page|back to top|skip to content|click here|read more|learn more|share this|subscribe|newsletter|follow us|contact us|about us|site map|sitemap)([^a-z]|$)'))
+    OR (n <= 40 AND regexp_matches(low, 'all rights reserved|copyright|©|privacy policy|terms of use|terms of service|cookie|javascript|lorem ipsum|licensed under|released under|powered by')) AS failed
+  FROM line),
+lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE failed) AS n_failed_lines,
+    coalesce(sum(c) FILTER (WHERE failed), 0) AS lost_chars, sum(c) AS line_chars
+  FROM judged GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id)
+SELECT b.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(lost_chars, 0) <= 0.5 * coalesce(line_chars, 0) AS kept,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_failed_lines, 0) AS n_failed_lines,
+  coalesce(lost_chars, 0) AS lost_chars, coalesce(line_chars, 0) AS line_chars
+FROM base b LEFT JOIN lines ON b.doc_id = lines.doc_id
+"""
+
 OP10_SQL = r"""
 WITH line AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
@@ -80,11 +134,13 @@ GROUP BY d.doc_id, d.text
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_model": op1_quality_model,
         "op2_decontamination": op2_decontamination,
+        "op3_quality_rules": op3_quality_rules,
         "op4_packing": op4_packing,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_decontamination": OP2_SQL, "op3_quality_rules": OP3_SQL, "op10_line_dedup": OP10_SQL}
