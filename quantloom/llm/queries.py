@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import find_contamination
+from .html_text import extract_text
 from .line_dedup import remove_repeated_lines
 from .packing import pack_documents
 from .quality_model import score_quality
 from .quality_rules import judge
+from .secrets_scan import find_secrets
 
 
 def tokenizer_path() -> str:
@@ -36,6 +38,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = remove_repeated_lines(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "text", "n_lines", "n_removed_lines")
@@ -138,6 +148,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_quality_rules": op3_quality_rules,
         "op4_packing": op4_packing,
+        "op6_secrets": op6_secrets,
+        "op9_html_text": op9_html_text,
         "op10_line_dedup": op10_line_dedup,
     }
 
