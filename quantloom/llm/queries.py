@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import find_contamination
 from .html_text import extract_text
 from .line_dedup import remove_repeated_lines
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_model import score_quality
 from .quality_rules import judge
@@ -42,6 +43,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -149,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_packing": op4_packing,
         "op6_secrets": op6_secrets,
+        "op7_near_dedup": op7_near_dedup,
         "op9_html_text": op9_html_text,
         "op10_line_dedup": op10_line_dedup,
     }
