@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_contamination
 from .html_text import extract_text
 from .line_dedup import remove_repeated_lines
+from .lm_score import score_texts
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_model import score_quality
@@ -47,6 +49,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"))
+    # sums of doubles depend on their order beyond this
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -120,6 +128,33 @@ SELECT b.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM base b LEFT JOIN lines ON b.doc_id = lines.doc_id
 """
 
+OP8_SQL = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i::UBIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END FROM bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+      lambda a, b: xor(a // 256, t[(xor(a % 256, b) + 1)::BIGINT]))) % 7 = 2 AS held_out
+  FROM documents, crc_table),
+w AS (
+  SELECT doc_id, held_out, list_append(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') AS w
+  FROM d),
+token AS (SELECT doc_id, held_out, unnest(w) AS w, unnest(list_prepend('', w)[1:len(w)]) AS h FROM w),
+unigram AS (SELECT w, count(*) AS c FROM token WHERE NOT held_out GROUP BY w),
+context AS (SELECT h, count(*) AS c FROM token WHERE NOT held_out GROUP BY h),
+bigram AS (SELECT h, w, count(*) AS c FROM token WHERE NOT held_out GROUP BY h, w),
+size AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM unigram),
+scored AS (
+  SELECT doc_id, held_out, n, coalesce(u.c, 0) AS cu, coalesce(x.c, 0) AS ch, coalesce(b.c, 0) AS cb,
+    (coalesce(u.c, 0) + 1) / (n + v + 1) AS p
+  FROM token t CROSS JOIN size LEFT JOIN unigram u ON t.w = u.w LEFT JOIN context x ON t.h = x.h LEFT JOIN bigram b ON t.h = b.h AND t.w = b.w)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE cu > 0) AS n_known, n AS train_tokens,
+  round(sum(log10(p)), 6) AS base_score, round(sum(log10((cb + 1000 * p) / (ch + 1000))), 6) AS score
+FROM scored GROUP BY doc_id, held_out, n
+"""
+
 OP10_SQL = r"""
 WITH line AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
@@ -155,10 +190,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op6_secrets": op6_secrets,
         "op7_near_dedup": op7_near_dedup,
+        "op8_lm_score": op8_lm_score,
         "op9_html_text": op9_html_text,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op3_quality_rules": OP3_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_decontamination": OP2_SQL, "op3_quality_rules": OP3_SQL, "op8_lm_score": OP8_SQL, "op10_line_dedup": OP10_SQL}
