@@ -14,6 +14,7 @@ from .line_dedup import remove_repeated_lines
 from .lm_score import score_texts
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .pii import find_pii
 from .quality_model import score_quality
 from .quality_rules import judge
 from .secrets_scan import find_secrets
@@ -41,6 +42,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -188,6 +193,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_quality_rules": op3_quality_rules,
         "op4_packing": op4_packing,
+        "op5_pii": op5_pii,
         "op6_secrets": op6_secrets,
         "op7_near_dedup": op7_near_dedup,
         "op8_lm_score": op8_lm_score,
