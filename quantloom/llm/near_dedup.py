@@ -151,7 +151,10 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE,
     """Links (u, v) that connect all distinct fingerprints (column fp) within max_bits of each other."""
     spark = nodes.sparkSession
     n = nodes.count()
-    drawn = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], dtype=np.int64).view(np.uint64)
+    # about ``sample`` rows, drawn by hash; only shards depend on which, not results
+    few = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, n))) < sample)
+    drawn = np.array([r[0] for r in few.select("fp").collect()], dtype=np.int64).view(np.uint64)
+    drawn.sort()
     share = max(1.0, n / max(1, len(drawn)))
     trees = spark.sparkContext.broadcast([VantageTree(half(drawn, k), max_bits // HALVES, max(16.0, shard / share), seed=k) for k in range(HALVES)])
 
