@@ -91,10 +91,9 @@ class Block:
         pairs = np.bincount(self.bigram_of, weights, len(self.context)).astype(np.int32)[self.bigram_order]
         word_keys, pair_keys_ = self.keys[self.word_order], self.bigram_keys[self.bigram_order]
         word_at, pair_at = cuts(word_keys, buckets), cuts(pair_keys_, buckets)
-        for b in range(buckets):
+        for b in np.flatnonzero((np.diff(word_at) > 0) | (np.diff(pair_at) > 0)).tolist():
             w, p = slice(word_at[b], word_at[b + 1]), slice(pair_at[b], pair_at[b + 1])
-            if w.stop > w.start or p.stop > p.start:
-                yield b, deltas(word_keys[w]), squeezed(words[w]), deltas(pair_keys_[p]), squeezed(pairs[p])
+            yield b, deltas(word_keys[w]), squeezed(words[w]), deltas(pair_keys_[p]), squeezed(pairs[p])
 
 
 def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -151,8 +151,8 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE,
     """Links (u, v) that connect all distinct fingerprints (column fp) within max_bits of each other."""
     spark = nodes.sparkSession
     n = nodes.count()
-    # about ``sample`` rows, drawn by hash; only shards depend on which, not results
-    few = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, n))) < sample)
+    # about ``sample`` rows and a quarter at most, drawn by hash; only shards depend on which, not results
+    few = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, n))) < min(sample, n // 4))
     drawn = np.array([r[0] for r in few.select("fp").collect()], dtype=np.int64).view(np.uint64)
     drawn.sort()
     share = max(1.0, n / max(1, len(drawn)))
