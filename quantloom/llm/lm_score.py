@@ -32,7 +32,7 @@ from .common import byte_texts, fold, materialise
 #: Weight of the base distribution in each context, in tokens.
 PRIOR = 1000.0
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: A task numbers its blocks from its partition's number times this.
 BLOCKS_PER_TASK = 1 << 32
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
