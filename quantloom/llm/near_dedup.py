@@ -208,12 +208,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The documents, with all their columns, that name their component; of repeated rows of an id one stays.
 
-    Rows without an id always stay.
+    An id goes if none of its rows names a component.  Those ids are far fewer than the ones that
+    stay, so texts are seldom shuffled to drop them.  Rows without an id always stay.
     """
     found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, max_bits)
-    kept = materialise(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).count())
-    out = docs.join(kept.select("__kept"), docs[id_col] == kept["__kept"], "left_semi")
-    if not kept.filter("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
-    without = docs.filter(F.col(id_col).isNull())
-    return out.unionByName(without)
+    ids = materialise(found.groupBy(F.col("doc_id").alias("__gone")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"), F.count(F.lit(1)).alias("n")))
+    out = docs.join(ids.filter("not names").select("__gone"), docs[id_col] == F.col("__gone"), "left_anti")
+    if ids.filter("n > 1").isEmpty():
+        return out
+    return out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.filter(F.col(id_col).isNull()))
