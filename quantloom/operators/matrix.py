@@ -169,7 +169,7 @@ def minkowski(p: float | None, first: DataFrame, second: DataFrame) -> DataFrame
     ids = a.join(b, same(a["MatrixID"], b["id"]), "full")
     unlike = ids.filter("rows is null or n_rows is null or n_columns != columns or not valid or not fine")
     if p is not None and p <= 1e-9:
-        first = first.limit(0)
+        first, p = first.limit(0), 1.0
     left = without_unsound(first, unlike, "batch").withColumnRenamed("RowNumber", "RowNumber_1")
     right = second.toDF("id", "RowNumber_2", "column", "v2")
     gap = F.abs(F.col("Value") - F.col("v2"))

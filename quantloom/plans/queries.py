@@ -415,16 +415,16 @@ def priced_sql(inner: str, results: dict[str, str]) -> str:
 
 @query(
     priced_sql(
-        "SELECT *, d1 / 365.0::DOUBLE AS t, exp(-r * d1 / 365.0::DOUBLE) AS df, exp(-0.01::DOUBLE * d1 / 365) AS dm, v * sqrt(d1 / 365.0::DOUBLE) AS sd, (ln(f / k) + (r - 0.01::DOUBLE + v * v / 2) * d1 / 365.0::DOUBLE) / (v * sqrt(d1 / 365.0::DOUBLE)) AS z1, z1 - sd AS z2 FROM c",
+        "SELECT *, d1 / 365.0::DOUBLE AS t, exp(-r * d1 / 365.0::DOUBLE) AS df, exp(-0.012::DOUBLE * d1 / 365) AS dm, v * sqrt(d1 / 365.0::DOUBLE) AS sd, (ln(f / k) + (r - 0.012::DOUBLE + v * v / 2) * d1 / 365.0::DOUBLE) / (v * sqrt(d1 / 365.0::DOUBLE)) AS z1, z1 - sd AS z2 FROM c",
         {
             "OptionFairValue": "s * (f * dm * n1 - k * df * n2)", "Delta": "s * dm * n1", "Gamma": "dm * pdf / (f * sd)", "Vega": "dm * f * sqrt(t) * pdf",
-            "Theta": "-dm * f * v * pdf / (2 * sqrt(t)) + s * (0.01::DOUBLE * f * dm * n1 - r * k * df * n2)", "Rho": "s * k * t * df * n2", "DiscountFactor_RiskFreeRate": "df",
+            "Theta": "-dm * f * v * pdf / (2 * sqrt(t)) + s * (0.012::DOUBLE * f * dm * n1 - r * k * df * n2)", "Rho": "s * k * t * df * n2", "DiscountFactor_RiskFreeRate": "df",
         },
     )
 )
 def stock_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = contracts(spark, sf_dir).withColumn("t", F.datediff("first", "valued") / 365.0)
-    return priced(options.stock_option_price(df, "CallOrPut", "t", "price", "strike", "vol", "rate", 0.01), ("DiscountFactor_RiskFreeRate",))
+    return priced(options.stock_option_price(df, "CallOrPut", "t", "price", "strike", "vol", "rate", 0.012), ("DiscountFactor_RiskFreeRate",))
 
 
 BLACK = {
