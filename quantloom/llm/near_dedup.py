@@ -213,7 +213,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, max_bits)
     ids = materialise(found.groupBy(F.col("doc_id").alias("__gone")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"), F.count(F.lit(1)).alias("n")))
-    out = docs.join(ids.filter("not names").select("__gone"), docs[id_col] == F.col("__gone"), "left_anti")
+    gone = materialise(ids.filter("not names").select("__gone"))  # as a table of known size, so that Spark can broadcast a small one
+    out = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
     if ids.filter("n > 1").isEmpty():
         return out
     return out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.filter(F.col(id_col).isNull()))
