@@ -7,8 +7,6 @@ on in the null space that they leave, so they need no opposing inequalities.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -121,8 +119,3 @@ def linear_optimization(objective: DataFrame, coefficients: DataFrame, bounds: D
 def linear_optimization_at_most(objective: DataFrame, coefficients: DataFrame, bounds: DataFrame, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
     """The same for maximisation under bounds from above only (bounds without a Symbol)."""
     return linear_optimization(objective, coefficients, bounds.withColumn("Symbol", F.lit(-1)), "Maximize", max_iterations)
-
-
-def batches(problems: DataFrame) -> Iterator[DataFrame]:
-    """Kept for callers that solved problems in batches: Spark spreads them, so there is one."""
-    yield problems
