@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,23 +57,31 @@ def parse(source: str) -> Node:
     """A forgiving tree of a page: scripts and comments are gone, unclosed elements end where HTML ends them."""
     root = here = Node("html", "", None)
     at, n = 0, len(source)
+    opened: Counter[str] = Counter()  # start tags that may still be open
+    closed = source.rfind(">") + 1  # no tag ends later, so none is looked for there
     while at < n:
-        m = TOKEN.search(source, at)
-        text = source[at : m.start() if m else n]
+        m = TOKEN.search(source, at, closed)
+        text = source[at : m.start()] if m else source[at:].partition("<!--")[0]
         if text:
             here.children.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
         if not m[2]:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
         tag = m[2].lower()
         if m[1]:
+            if not opened[tag]:
+                continue
             node = here
             while node is not None and node.tag != tag:
                 node = node.parent
             if node is not None and node.parent is not None:
                 here = node.parent
+            else:
+                opened[tag] = 0  # all of them were closed by others
             continue
         if tag in ("html", "body"):
             continue
@@ -86,6 +95,7 @@ def parse(source: str) -> Node:
         here.children.append(node)
         if tag not in VOID and not (m[3].endswith("/") and tag not in BLOCKS):
             here = node
+            opened[tag] += 1
     return root
 
 

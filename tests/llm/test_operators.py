@@ -307,6 +307,13 @@ def test_html():
     assert main_text("") == "" and main_text("<p") == main_text("<p") and main_text("<div>" * 5000) == ""
 
 
+def test_html_that_is_never_closed():
+    assert main_text("<p>one<!-- two > three") == "one" and main_text("<p>one</p>two<!-- three") == "one\n\ntwo"
+    assert main_text("<p>one</b></p><p>two <b") == "one\n\ntwo <b"
+    for part in ("<a ", "<!", "</i>"):  # in linear time
+        main_text("<p>x</p>" + part * 100_000)
+
+
 def test_html_odd_rows(spark):
     rows = [(1, "u", None), (None, None, ""), (2, "u", "<p>Only this, a paragraph."), (2, "u", "<p>Only this, a paragraph.")]
     out = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
