@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import WHITE_SPACE, materialise, table
+from quantloom.llm.common import WHITE_SPACE, discard, materialise, table
 from quantloom.llm.decontaminate import remove_contaminated
 from quantloom.llm.line_dedup import remove_repeated_lines
 from quantloom.llm.near_dedup import one_of_each
@@ -64,5 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        done = materialise(stage(spark, docs, sf_dir))
+        discard(docs)
+        docs = done
     return docs

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, materialise
+from .common import byte_texts, discard, materialise
 
 MIN_WORDS = 50
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -97,6 +97,7 @@ def remove_repeated_lines(
     flagged = materialise(
         chunks.join(repeated, "chunk").select("doc", "twin", "first", "n_lines", "chunk", (rank == F.col("keeper")).alias("keeps"))
     )
+    discard(chunks)
     per_doc = flagged.groupBy("doc", "twin").agg(F.collect_set(F.struct("first", "n_lines", "chunk", "keeps")).alias("runs"))
     theirs = [texts["doc"].eqNullSafe(per_doc["doc"]), texts["twin"] == per_doc["twin"]]
     run = F.explode("runs").alias("run")
@@ -107,6 +108,7 @@ def remove_repeated_lines(
         .select("doc", "twin", "run.*", F.array_join(F.slice("lines", F.col("run.first").cast("int") + 1, F.col("run.n_lines").cast("int")), "\n").alias("bytes"))
     )
     spelled = materialise(spelled)
+    discard(flagged)
     kept = spelled.filter("keeps").groupBy("chunk").agg(F.min("bytes").alias("kept_bytes"))
     again = spelled.filter("not keeps").join(kept, "chunk").filter(F.col("bytes") == F.col("kept_bytes"))
     removed = again.groupBy(F.col("doc").alias("__doc"), F.col("twin").alias("__twin_of")).agg(
