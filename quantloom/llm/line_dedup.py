@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -116,20 +115,19 @@ def remove_repeated_lines(
     )
     joined = keyed.join(removed, [keyed[id_col].eqNullSafe(removed["__doc"]), keyed["__twin"] == removed["__twin_of"]], "left")
 
-    @F.pandas_udf("struct<text:string,n_lines:int,n_removed_lines:int>")
-    def clean(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        out = []
+    @F.arrow_udf("struct<text:string,n_lines:int,n_removed_lines:int>")
+    def clean(text: pa.Array, runs: pa.Array) -> pa.Array:
+        texts, sizes, removed = [], [], []
         for t, r in zip(text, runs, strict=True):
-            if t is None:
-                out.append((None, 0, 0))
-                continue
-            parts = t.split("\n")
+            parts = [] if (whole := t.as_py()) is None else whole.split("\n")
             gone = np.zeros(len(parts), dtype=bool)
-            for run in r if r is not None else ():
+            for run in r.as_py() or ():
                 gone[run["first"] : run["first"] + run["n_lines"]] = True
-            kept = "\n".join(p for p, g in zip(parts, gone, strict=True) if not g) if gone.any() else t
-            out.append((kept, len(parts), int(gone.sum())))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed_lines"])
+            texts.append("\n".join(p for p, g in zip(parts, gone, strict=True) if not g) if gone.any() else whole)
+            sizes.append(len(parts))
+            removed.append(int(gone.sum()))
+        columns = [pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(removed, pa.int32())]
+        return pa.StructArray.from_arrays(columns, ["text", "n_lines", "n_removed_lines"])
 
     done = joined.withColumn("__done", clean(F.col(text_col), F.col("__runs")))
     columns = [F.col("__done.text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed_lines")]

@@ -18,7 +18,6 @@ from itertools import combinations
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -236,10 +235,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def quality_score(model: AdditiveModel, text: Column) -> Column:
     """The score of a text; a null text is an empty one."""
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            yield pd.Series(model.score(feature_frame(byte_texts(pa.array(part, pa.string())))))
+            yield pa.array(model.score(feature_frame(byte_texts(part))))
 
     return score(text)
 
