@@ -3,8 +3,8 @@
 Candidate strings are runs of the base64 alphabet.  Within a candidate a window of fixed length
 slides over each maximal run of a character class (hexadecimal, alphanumeric, base64); the
 window's Shannon entropy is kept up to date from the counts that one character leaving and one
-entering change.  A run whose best window reaches its class's threshold is a secret, unless the
-allow-list suppresses it.  One pass over the scan, no shuffle.
+entering change.  Every run whose best window reaches its class's threshold is a secret, unless the
+allow-list suppresses it; runs that overlap are one.  One pass over the scan, no shuffle.
 """
 
 from __future__ import annotations
@@ -85,22 +85,45 @@ def allowed(run: str) -> bool:
     return any(p in low for p in ALLOWED_PARTS) or any(p.fullmatch(run) for p in ALLOWED_SHAPES)
 
 
+def free_parts(start: int, end: int, taken: list[tuple[int, int]], starts: list[int], reach: list[int]) -> Iterator[tuple[int, int]]:
+    """What of start to end lies outside the spans taken; these are sorted, reach[k] is where the first k + 1 of them end."""
+    k = bisect_left(starts, start)
+    at = max(start, reach[k - 1]) if k else start
+    while k < len(starts) and starts[k] < end:
+        if starts[k] > at:
+            yield at, starts[k]
+        at = max(at, taken[k][1])
+        k += 1
+    if at < end:
+        yield at, end
+
+
+def secret_runs(word: str) -> Iterator[tuple[int, int]]:
+    """Every maximal run of every class with a window of high entropy, unless it is allowed."""
+    for kind, threshold in THRESHOLDS.items():
+        for m in RUNS[kind].finditer(word):
+            if mixed_classes(m[0]) and best_entropy(m[0]) >= threshold and not allowed(m[0]):
+                yield m.span()
+
+
 def entropy_spans(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Runs of high entropy outside the spans already taken, at most one for each candidate."""
+    """Runs of high entropy outside the spans already taken; of runs that overlap, what they cover together."""
     taken = sorted(taken)
     starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for candidate in CANDIDATE.finditer(text):
         word = candidate[0]
         if word.isalpha() or allowed(word):
             continue
-        for kind, threshold in THRESHOLDS.items():
-            run = next((m for m in RUNS[kind].finditer(word) if mixed_classes(m[0]) and best_entropy(m[0]) >= threshold and not allowed(m[0])), None)
-            if run:
-                start, end = candidate.start() + run.start(), candidate.start() + run.end()
-                k = bisect_left(starts, end)
-                if not k or reach[k - 1] <= start:
-                    yield start, end
-                break
+        for a, b in free_parts(candidate.start(), candidate.end(), taken, starts, reach):
+            start = end = -1
+            for x, y in sorted(secret_runs(text[a:b])):
+                if x >= end:
+                    if end > start:
+                        yield a + start, a + end
+                    start = x
+                end = max(end, y)
+            if end > start:
+                yield a + start, a + end
 
 
 def mixed_classes(run: str) -> bool:

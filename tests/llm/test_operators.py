@@ -25,7 +25,7 @@ from quantloom.llm.packing import pack_documents, pack_examples
 from quantloom.llm.pii import find_pii
 from quantloom.llm.quality_model import keep_good, score_quality
 from quantloom.llm.quality_rules import clean_lines, judge
-from quantloom.llm.secrets_scan import best_entropy, find_secrets, redact_secrets
+from quantloom.llm.secrets_scan import best_entropy, find_secrets, redact_secrets, spans_of
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -217,6 +217,27 @@ def test_entropy_window():
         assert best_entropy(run) == pytest.approx(slow)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+
+
+def entropy_of(text: str) -> list[str]:
+    return [text[a:b] for a, kind, b in spans_of(text)[0] if kind == 3]
+
+
+def test_secrets_find_every_run_of_a_candidate():
+    rng = np.random.default_rng(61)
+    key = lambda n, of=62: "".join(rng.choice(list(LETTERS[:of]), n - 1)) + "7"
+    for _ in range(50):
+        one, two, three, long = key(40), key(40), key(40), key(64, 64)
+        assert entropy_of(f"x {one}-{two}-{three} y") == [f"{one}-{two}-{three}"]
+        assert entropy_of(f"{one} {two} {three}") == [one, two, three]
+        assert entropy_of(f"x {long} y") == [long]
+        digest = "f" + "".join(rng.choice(list("0123456789abcdef"), 31))
+        assert [k for _, k, _ in spans_of(f"{digest}-{one}")[0]] == [2, 3]
+        assert one in entropy_of(f"{digest}-{one}")[0] and long in entropy_of(f"{digest}-{long}")[0]
+        assert len(entropy_of(f"{one}-{digest}-{two}")) == 2
+
+
 # 7
 
 
