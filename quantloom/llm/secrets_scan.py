@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
+from string import ascii_lowercase, ascii_uppercase
 
 import pandas as pd
 import pyarrow as pa
@@ -38,7 +39,8 @@ RUNS = {
     "base64": re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW),
 }
 
-# What looks random and is none (compared in lower case).
+# What looks random and is none (words are compared in lower case).  Each run is judged
+# for itself, so what stands beside a harmless word or path is still found.
 ALLOWED_PARTS = ("example", "placeholder", "changeme", "xxxxxx", "your_", "your-", "dummy", "redacted", "lorem")
 ALLOWED_SHAPES = tuple(
     re.compile(p)
@@ -46,11 +48,15 @@ ALLOWED_SHAPES = tuple(
         r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUIDs
         r"[A-Za-z]+(?:[-_/=+][A-Za-z]*)*",  # words and paths of words
         r"[0-9]+(?:[-_/=+][0-9]*)*",  # numbers, dates, phone numbers
-        r"[a-z0-9_-]+(?:/[a-z0-9_-]*)+",  # paths
         r"(.{1,4}?)\1+.{0,3}",  # short repeats
-        r"(?:0123456789|abcdefghij|ABCDEFGHIJ).*",  # alphabets
+        r"(?:(?:%s)[+/_=-]*)+" % "|".join(s[:k] for s in (ascii_lowercase, ascii_uppercase, "01234567890", "1234567890") for k in range(len(s), 5, -1)),  # alphabets
     )
 )
+PATH = re.compile(r"[a-z0-9_-]+(?:/[a-z0-9_-]*)+")
+#: A piece between / or = that is nothing but words.
+WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_](?:[A-Z]?[a-z]+|[A-Z]+))*[-_]?")
+PIECE = re.compile(r"[^/]+")
+PART = re.compile(r"[^/=]+[/=]?")
 
 
 def best_entropy(run: str, size: int = WINDOW) -> float:
@@ -80,9 +86,14 @@ def best_entropy(run: str, size: int = WINDOW) -> float:
     return math.log2(size) - best / size
 
 
-def allowed(run: str) -> bool:
+def harmless(run: str) -> bool:
+    """Whether a run holds a word of the allow-list."""
     low = run.lower()
-    return any(p in low for p in ALLOWED_PARTS) or any(p.fullmatch(run) for p in ALLOWED_SHAPES)
+    return any(p in low for p in ALLOWED_PARTS)
+
+
+def allowed(run: str) -> bool:
+    return harmless(run) or any(p.fullmatch(run) for p in ALLOWED_SHAPES)
 
 
 def free_parts(start: int, end: int, taken: list[tuple[int, int]], starts: list[int], reach: list[int]) -> Iterator[tuple[int, int]]:
@@ -98,12 +109,31 @@ def free_parts(start: int, end: int, taken: list[tuple[int, int]], starts: list[
         yield at, end
 
 
+def judged_runs(word: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """What of a run is judged as one: of a path each of its pieces, and what lies beside a piece of mere words that are allowed."""
+    run = word[start:end]
+    if PATH.fullmatch(run):
+        yield from ((start + m.start(), start + m.end()) for m in PIECE.finditer(run))
+    elif harmless(run) and ("/" in run or "=" in run):
+        a = start
+        for m in PART.finditer(run):
+            piece = m[0].rstrip("/=")
+            if WORDS.fullmatch(piece) and harmless(piece):
+                yield a, start + m.start()
+                a = start + m.end()
+        yield a, end
+    else:
+        yield start, end
+
+
 def secret_runs(word: str) -> Iterator[tuple[int, int]]:
     """Every maximal run of every class with a window of high entropy, unless it is allowed."""
     for kind, threshold in THRESHOLDS.items():
         for m in RUNS[kind].finditer(word):
-            if mixed_classes(m[0]) and best_entropy(m[0]) >= threshold and not allowed(m[0]):
-                yield m.span()
+            for a, b in judged_runs(word, *m.span()):
+                run = word[a:b]
+                if len(run) >= WINDOW and mixed_classes(run) and best_entropy(run) >= threshold and not allowed(run):
+                    yield a, b
 
 
 def entropy_spans(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -111,8 +141,7 @@ def entropy_spans(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int
     taken = sorted(taken)
     starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for candidate in CANDIDATE.finditer(text):
-        word = candidate[0]
-        if word.isalpha() or allowed(word):
+        if candidate[0].isalpha():
             continue
         for a, b in free_parts(candidate.start(), candidate.end(), taken, starts, reach):
             start = end = -1

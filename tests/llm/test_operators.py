@@ -238,6 +238,21 @@ def test_secrets_find_every_run_of_a_candidate():
         assert len(entropy_of(f"{one}-{digest}-{two}")) == 2
 
 
+def test_secrets_beside_harmless_strings():
+    rng = np.random.default_rng(62)
+    for _ in range(50):
+        low_key, long = "".join(rng.choice(list(LETTERS[:26] + LETTERS[52:62]), 39)) + "7", "".join(rng.choice(list(LETTERS), 63)) + "7"
+        for before in ("https://hooks.site.com/", "https://hooks.site.com/services/", "example/", "your_key=", "0123456789", "abcdefghij"):
+            assert entropy_of(before + low_key)[0].endswith(low_key)
+        assert entropy_of(f"example/{long}")[0].endswith(long)
+        assert entropy_of(f"your_key={long}/example")[0].startswith(long)
+    uuid = "123e4567-e89b-42d3-a456-426614174000"
+    paths = ("usr/local/lib/python3/site-packages/numpy/core", "2024/01/31/some-news/page2/index5", f"items/{uuid}/edit")
+    placeholders = ("your-api-key-goes-here-1234567890abc", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", LETTERS[:26] + "0123456789", LETTERS, "a1b2" * 10)
+    for text in (uuid, *paths, *placeholders):
+        assert entropy_of(text) == []
+
+
 # 7
 
 
