@@ -2,7 +2,8 @@
 
 Every paragraph has points for its length and its commas and passes them to its ancestors, less
 with each level.  A container's points are discounted by its link density; the best container is
-kept, with the siblings that read like its continuation.  One pass over the scan, no shuffle.
+kept, with the siblings that read like its continuation.  What class, id and role say discounts a
+container's points, and takes it out only if its own text agrees.  One pass over the scan, no shuffle.
 """
 
 from __future__ import annotations
@@ -40,17 +41,23 @@ UNLIKELY = re.compile(
     r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|share|sharing|social|comments?|commentlist|disqus|"
     r"respond|related|recommend\w*|login|signup|search|toolbar|paginat\w*|pager|widget|skip)(?:[\s_-]|\d|$)"
 )
+#: Classes that say what a container has or lacks beside its own text, and those of article text.
+LAYOUT = re.compile(r"(?:no|non|has|with|without|hide|is)[_-]")
+LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:\s|$)")
+DISCOUNT = 25.0
+#: A marked container with fewer points for its length and commas than this is no article text.
+PROSE = 4.0
 START_POINTS = {"article": 25.0, "main": 15.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "form": -3.0}
 LEVELS = 6
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "points", "length", "linked", "holds_semantic")
+    __slots__ = ("tag", "attrs", "parent", "children", "points", "length", "linked", "holds_semantic", "marked")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
-        self.points, self.length, self.linked, self.holds_semantic = 0.0, 0, 0, False
+        self.points, self.length, self.linked, self.holds_semantic, self.marked = 0.0, 0, 0, False, False
 
 
 def parse(source: str) -> Node:
@@ -141,31 +148,60 @@ def measure(nodes: list[Node]) -> None:
             node.parent.holds_semantic |= node.holds_semantic or node.tag in SEMANTIC
 
 
-def hidden_or_unlikely(node: Node) -> tuple[bool, bool]:
+def hidden_or_unlikely(node: Node) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden, whether class, id or role say that it may be no article text, and whether by more than an anchor."""
     if not node.attrs.strip():
-        return False, False
+        return False, False, False
     attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(node.attrs)}
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")))
-    said = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-    said = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", said).lower()
-    return hidden, bool(said.strip()) and bool(UNLIKELY.search(said))
+    said = {k: re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attrs.get(k, "")).lower().strip() for k in ("class", "id", "role")}
+    kinds = " ".join(c for c in f"{said['class']} {said['role']}".split() if not LAYOUT.match(c))
+    by_kind = bool(UNLIKELY.search(kinds)) and not LIKELY.search(kinds)
+    m = UNLIKELY.search(said["id"]) if not LIKELY.search(kinds) else None
+    whole_id = m is not None and m[0] == said["id"] and node.tag != "section" and node.tag not in PARAGRAPHS  # ids there are often made from titles
+    return hidden, by_kind or m is not None, by_kind or whole_id
 
 
 def prune(root: Node) -> None:
-    """Takes out what is never article text: by tag, by being hidden, and by what class, id and role say."""
+    """Takes out what is never article text: by tag, by being hidden, and containers whose class, id or role and own text say so.
+
+    Words of class, id and role alone only mark a container.  A marked one goes if it is mostly links,
+    or has little prose and less than half the text of its article.
+    """
     nodes = in_order(root)
     measure(nodes)
-    semantic, whole = root.holds_semantic, max(1, root.length)
     removed: set[Node] = set()
+    suspects: dict[Node, bool] = {}
+    around: dict[Node, Node] = {root: root}  # the nearest article, or the page
     for node in nodes:
         if node.parent is None:
             continue
-        hidden, unlikely = hidden_or_unlikely(node)
-        gone = node.tag in DROPPED or hidden
-        if unlikely and not node.holds_semantic and (semantic or node.length < 0.5 * whole):
-            gone = True
-        if gone:
+        around[node] = node.parent if node.parent.tag in SEMANTIC else around[node.parent]
+        hidden, unlikely, sure = hidden_or_unlikely(node)
+        if node.tag in DROPPED or hidden:
             removed.add(node)
+        elif unlikely and node.tag in BLOCKS and node.tag not in HEADINGS and node.tag not in SEMANTIC:
+            if sure or node.tag not in PARAGRAPHS:
+                node.marked = True
+                suspects[node] = sure
+    if suspects:
+        length, linked, prose = Counter(), Counter(), Counter()  # without what is removed
+        for node in reversed(nodes):
+            length[node] += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+            if node.tag == "a":
+                linked[node] = length[node]
+            if node.tag == "a":
+                prose[node] = 0.0
+            else:
+                prose[node] += sum(paragraph_points(c.strip()) - 1 for c in node.children if isinstance(c, str))
+            if node in suspects and not node.holds_semantic and length[node]:
+                little = suspects[node] and prose[node] < PROSE and node.length < 0.5 * around[node].length
+                if little or linked[node] > 0.5 * length[node]:
+                    removed.add(node)
+            if node.parent is not None and node not in removed:
+                length[node.parent] += length[node]
+                linked[node.parent] += linked[node]
+                prose[node.parent] += prose[node]
     for parent in {node.parent for node in removed}:
         parent.children = [c for c in parent.children if c not in removed]
 
@@ -214,7 +250,7 @@ def best_roots(root: Node) -> list[Node]:
         while above is not None and level < LEVELS:
             if above not in scored:
                 scored.add(above)
-                above.points = START_POINTS.get(above.tag, 0.0)
+                above.points = START_POINTS.get(above.tag, 0.0) - (DISCOUNT if above.marked else 0.0)
             above.points += points / (1, 2, 6, 9, 12, 15)[level]
             above, level = above.parent, level + 1
     if not scored:

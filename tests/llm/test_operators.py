@@ -343,6 +343,17 @@ def test_html():
     assert main_text("") == "" and main_text("<p") == main_text("<p") and main_text("<div>" * 5000) == ""
 
 
+def test_html_keeps_text_whose_anchors_say_little():
+    text = "A plain sentence of the article, with a comma, that is long enough to count as one of its paragraphs."
+    for name in ("search-algorithms", "related-work", "social-structure", "recommendations", "sharing-data", "comments-on-the-method"):
+        page = f"<main><h1>Title</h1><p>{text}</p><p>{text}</p><section id='{name}'><h2 id='{name}'>Part</h2><p id='{name}'>Short text.</p></section><p>{text}</p></main>"
+        assert main_text(page) == f"Title\n\n{text}\n\n{text}\n\nPart\n\nShort text.\n\n{text}"
+    assert main_text(f"<main><div class='content no-sidebar'><p>{text}</p></div></main>") == text
+    assert main_text(f"<article><p>{text}</p><div class='related'><p>{text}</p><p>{text}</p><p>{text}</p></div></article>").count(text) == 4
+    for other in ("<div class='ad'>Buy now!</div>", "<div class='comments'><p>I agree.</p></div>", f"<div id='related-posts'><p><a href=x>{text}</a></p></div>"):
+        assert main_text(f"<article><p>{text}</p><p>{text}</p>{other}</article>") == f"{text}\n\n{text}"
+
+
 def test_html_that_is_never_closed():
     assert main_text("<p>one<!-- two > three") == "one" and main_text("<p>one</p>two<!-- three") == "one\n\ntwo"
     assert main_text("<p>one</b></p><p>two <b") == "one\n\ntwo <b"
