@@ -33,12 +33,20 @@ PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9]|(?<=0))"
 VALID_IP = rf"^{BYTE}(?:\.{BYTE}){{3}}$"
-#: Anything that may be an identifier: a phone or card number, else a word with a digit or an at sign.
+#: A phone number as it is written at home: 7 to 15 digits with blanks, brackets and the like between.
+NATIONAL = r"\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,14}(?![0-9A-Za-z@_])"
+BLANK = r"\x20\x09-\x0D"
+#: The punctuation that ends a word.
+TAIL = rf"[^A-Za-z0-9{BLANK}]++(?![^{BLANK}])"
+#: Anything that may be an identifier: a phone or card number, else a word with a digit or an at sign
+#: (but not the first word of a phone number).  An address word stays apart from numbers after it.
 CANDIDATE = (
     r"\+[0-9][\x20().0-9-]+[0-9]|(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,18}+(?![0-9])|"
-    r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+    rf"(?<![^{BLANK}])[0-9]{{1,3}}(?:[.:_-][0-9]{{1,3}}){{3}}(?:{TAIL}|(?![^{BLANK}]))|"
+    rf"(?<![0-9A-Za-z]){NATIONAL}(?:{TAIL})?+|"
+    rf"(?<![^{BLANK}])[^{BLANK}0-9@]*+(?!(?<![A-Za-z])(?=[0-9()./-]*+\x20[()./-]?[0-9]){NATIONAL})[0-9@][^{BLANK}]*+"
 )
-TRIM = r"^([^A-Za-z0-9+]*+)(.*?)[^A-Za-z0-9]*$"
+TRIM = r"^((?:(?!\([0-9]+\)[\x20./-]{0,2}[0-9])[^A-Za-z0-9+])*+)(.*?)[^A-Za-z0-9]*$"
 #: What an identifier that no fixed pattern finds must look like.
 SHAPES = {
     "email": r"^[^@\x20]+@[^@\x20]+$",

@@ -194,6 +194,17 @@ def test_pii_patterns_reveal_others(spark):
     assert found[100] == "email:16:33" and found[101] == ""
 
 
+def test_pii_contexts_reveal_national_numbers(spark):
+    seeds = [(k, f"You can call +4917012345{k:02d} tonight.") for k in range(12)]
+    numbers = ("(743) 555-3824", "0171 555 1234", "06 12 34 56 78", "555-3824", "743.555.3824", "(0)171/555 12 34")
+    others = [(100 + k, f"You can call {n} tonight.") for k, n in enumerate(numbers)]
+    last = [(200, "You can call 0171 555 1234, tonight."), (201, "Was it 1999 2001 or 192.168.10.20 80 then?"), (202, 'You can call "0171 555 1234" tonight.')]
+    found = {r["doc_id"]: r["spans"] for r in find_pii(docs_of(spark, seeds + others + last)).collect()}
+    for k, n in enumerate(numbers):
+        assert found[100 + k] == f"phone:13:{13 + len(n)}"
+    assert found[200] == "phone:13:26" and found[201] == "ip:20:33" and found[202] == "phone:14:27"
+
+
 # 6
 
 
