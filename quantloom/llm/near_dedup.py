@@ -193,28 +193,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and links others, but names a component only where no other id does (component_id null then);
     repeated rows stay.  Other columns are ignored; an empty table gives an empty table.
     """
+    found = grouped(docs, id_col, text_col, max_bits)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> DataFrame:
+    """doc_id, fp, root (a fingerprint of the component), component_id of every document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     fps = materialise(fingerprints(rows))
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     links = components(near_links(nodes, max_bits))
     reached = nodes.join(links, nodes["fp"] == links["node"]).select("fp", "root", "first")
     smallest = reached.groupBy("root").agg(F.min("first").alias("smallest"))
-    linked = materialise(reached.join(smallest, "root").select("fp", "smallest"))
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
-    found = fps.join(named, "fp")
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = materialise(reached.join(smallest, "root").select("fp", "root", "smallest"))
+    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("smallest", "first").alias("component_id"))
+    return fps.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents, with all their columns, that name their component; of repeated rows of an id one stays.
+    """The documents, with all their columns, that name their component: one row of each component.
 
     An id goes if none of its rows names a component.  Those ids are far fewer than the ones that
-    stay, so texts are seldom shuffled to drop them.  Rows without an id always stay.
+    stay, so texts are seldom shuffled to drop them.  Rows of a repeated id are judged one by one by
+    their fingerprints.  Rows without an id always stay.
     """
-    found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, max_bits)
+    found = grouped(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, max_bits)
     ids = materialise(found.groupBy(F.col("doc_id").alias("__gone")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"), F.count(F.lit(1)).alias("n")))
     gone = materialise(ids.filter("not names").select("__gone"))  # as a table of known size, so that Spark can broadcast a small one
     out = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
     if ids.filter("n > 1").isEmpty():
         return out
-    return out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.filter(F.col(id_col).isNull()))
+    many = materialise(ids.filter("names and n > 1").select("__gone"))
+    naming = found.filter("doc_id = component_id").join(many, F.col("doc_id") == F.col("__gone"), "left_semi")
+    keepers = materialise(naming.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("fp").alias("__keeper")).drop("root"))
+
+    @F.pandas_udf("long")
+    def fp_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint((t or "").encode()) for t in texts], dtype=np.uint64).view(np.int64))
+
+    repeated = docs.join(many, docs[id_col] == many["__gone"], "left_semi").withColumn("__fp", fp_of(F.col(text_col)))
+    kept = repeated.join(keepers, [repeated[id_col] == keepers["__id"], repeated["__fp"] == keepers["__keeper"]], "left_semi")
+    return out.join(many, out[id_col] == many["__gone"], "left_anti").unionByName(kept.dropDuplicates([id_col, "__fp"]).drop("__fp"))

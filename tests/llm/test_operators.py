@@ -329,6 +329,12 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] or 0) for r in one_of_each(docs_of(spark, rows)).collect()) == [0, 0, 1, 2]
 
 
+def test_one_of_each_keeps_unlike_rows_of_an_id(spark):
+    a, b, c = "a b c d e f", "other words in here now", "nothing like any of them at all"
+    rows = [(5, a), (5, b), (5, b), (1, c), (5, c), (7, b)]
+    assert sorted((r["doc_id"], r["text"]) for r in one_of_each(docs_of(spark, rows)).collect()) == [(1, c), (5, a), (5, b)]
+
+
 # 8
 
 
