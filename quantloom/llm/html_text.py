@@ -261,7 +261,7 @@ def best_roots(root: Node) -> list[Node]:
     while above is not None and above.tag not in SEMANTIC:
         above = above.parent
     if above is not None:
-        return [above]
+        best, top = above, max(top, above.points * (1 - density(above)))
     if best.parent is None:
         return [best]
     return [s for s in best.parent.children if isinstance(s, Node) and (s is best or continues(s, s.points * (1 - density(s)) if s in scored else 0.0, top))]
@@ -279,8 +279,12 @@ def continues(sibling: Node, points: float, top: float) -> bool:
 
 
 def blocks_of(node: Node) -> Iterator[str]:
-    """The texts of the blocks of an element in page order; lists of links are menus and left out."""
+    """The texts of the blocks of an element in page order; lists of links that are menus are left out.
+
+    A menu is marked as such, or its items are short and it does not follow prose and a heading of its own.
+    """
     buffer: list[str] = []
+    prose, last = False, ""
 
     def flush() -> Iterator[str]:
         text = " ".join("".join(buffer).split())
@@ -292,16 +296,24 @@ def blocks_of(node: Node) -> Iterator[str]:
     while todo:
         x = todo.pop()
         if x is None:
-            yield from flush()
+            for text in flush():
+                prose |= len(text) > 80
+                yield text
         elif isinstance(x, str):
             buffer.append(x)
         elif x.tag == "br":
             buffer.append(" ")
         else:
-            if x.tag in ("ul", "ol") and x is not node and x.length and density(x) > 0.7 and sum(isinstance(c, Node) for c in x.children) > 1:
-                continue
+            if x.tag in ("ul", "ol") and x is not node and x.length and density(x) > 0.7:
+                items = sum(isinstance(c, Node) for c in x.children)
+                if items > 1 and (x.marked or (x.length < 30 * items and not (prose and last in HEADINGS))):
+                    continue
+            if x.tag in PARAGRAPHS:
+                last = x.tag
             if x.tag in BLOCKS:
-                yield from flush()
+                for text in flush():
+                    prose |= len(text) > 80
+                    yield text
                 todo.append(None)
             todo.extend(reversed(x.children))
     yield from flush()

@@ -371,6 +371,14 @@ def test_html_keeps_text_whose_anchors_say_little():
         assert main_text(f"<article><p>{text}</p><p>{text}</p>{other}</article>") == f"{text}\n\n{text}"
 
 
+def test_html_keeps_sibling_articles_and_sources():
+    text = "A plain sentence of the article, with a comma, that is long enough to count as one of its paragraphs."
+    assert main_text(f"<main><article><p>{text}</p><p>{text}</p></article><article><p>{text}</p></article></main>").count(text) == 3
+    sources = "<h2>Sources</h2><ul><li><a href=x>World Bank</a></li><li><a href=y>A longer title of some report</a></li></ul>"
+    menu = "<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul>"
+    assert main_text(f"<article>{menu}<p>{text}</p>{sources}</article>") == f"{text}\n\nSources\n\nWorld Bank\n\nA longer title of some report"
+
+
 def test_html_that_is_never_closed():
     assert main_text("<p>one<!-- two > three") == "one" and main_text("<p>one</p>two<!-- three") == "one\n\ntwo"
     assert main_text("<p>one</b></p><p>two <b") == "one\n\ntwo <b"
