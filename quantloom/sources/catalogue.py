@@ -121,8 +121,14 @@ def upsert_databases(stored: DataFrame, new: DataFrame, overwrite: bool = False)
     values |= {c: F.when(comes, F.current_timestamp() if c.endswith("Time") else F.current_user()).otherwise(F.col(c)) for c in ("UpdateTime", "UpdateBy") if c in stored.columns}
     kept = both.filter(known).select(*(values[c].alias(c) for c in stored.columns))
     added = both.filter(~known).select(*(values[c].alias(c) for c in stored.columns if c != "ID"))
-    # databases are few: one window numbers the new ones
+    # numbered in each range of names, from where the ranges before it end; the ranges are drawn once
     from pyspark.sql import Window
 
-    added = added.withColumn("ID", (top + F.row_number().over(Window.orderBy("DatabaseName"))).cast(stored.schema["ID"].dataType))
+    added = added.repartitionByRange("DatabaseName").withColumn("__part", F.spark_partition_id()).localCheckpoint()
+    sizes = added.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = sizes.select(F.col("__part").alias("__earlier"), F.col("__n").alias("__m"))
+    offsets = sizes.join(earlier, F.col("__earlier") < F.col("__part"), "left").groupBy("__part").agg(F.coalesce(F.sum("__m"), F.lit(0)).alias("__offset"))
+    number = F.row_number().over(Window.partitionBy("__part").orderBy("DatabaseName"))
+    added = added.withColumn("__row", number).join(offsets, "__part")
+    added = added.withColumn("ID", (top + F.col("__offset") + F.col("__row")).cast(stored.schema["ID"].dataType))
     return kept.unionByName(added.select(*stored.columns))

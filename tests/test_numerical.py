@@ -321,6 +321,20 @@ def test_catalogue(spark):
     assert after[1]["DatabaseName"] == "d" and after[1]["KeepingRecordsSynchronized"] is False and after[2]["DatabaseName"] == "e"
 
 
+def test_upsert_numbers_many_rows_in_ranges(spark):
+    shape = "DatabaseName string, KeepingRecordsSynchronized boolean, PurposeOrMeaning_Description string, TechnicalNotes string"
+    stored = spark.createDataFrame([(7, "a", True, None, None)], "ID int, " + shape)
+    new = spark.createDataFrame([(f"n{k:04d}", True, None, None) for k in range(1000)], shape)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps the ranges apart
+    try:
+        out = catalogue.upsert_databases(stored, new)
+        rows = {r["DatabaseName"]: r["ID"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert rows == {"a": 7} | {f"n{k:04d}": 8 + k for k in range(1000)}
+    assert "windowspecdefinition(__part" in out._jdf.queryExecution().analyzed().toString()
+
+
 def event(kind, database, user):
     inner = f"<EventType>{kind}</EventType>" + (f"<DatabaseName>{database}</DatabaseName>" if database else "") + "<TSQLCommand><SetOptions A='1'/><CommandText>a &lt; b</CommandText></TSQLCommand>"
     return f"<EVENT_INSTANCE>{inner}</EVENT_INSTANCE>", user, datetime(2024, 1, 5)
