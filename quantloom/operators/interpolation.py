@@ -164,7 +164,7 @@ def local_polynomial_regression(pairs: DataFrame, kernel_name: str, radius: floa
 
     Neighbours lie nearer than the radius and weigh by the kernel.  They meet in buckets of that
     width, and only sums of powers are kept, so a list is never gathered.  A repeated x in a list, an
-    unknown kernel, or a radius or order that is not positive gives no rows; points whose neighbours
+    unknown kernel, a radius that is not positive or a negative order gives no rows; points whose neighbours
     do not fix a polynomial have none.  ``compat`` sums all coefficients.
     """
     p = conform(pairs, PAIRS).dropna(subset=["X_Value", "Y_Value"])

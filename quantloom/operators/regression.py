@@ -6,8 +6,6 @@ each list or matrix, so no group of rows is ever gathered.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators.matrix import checked, eigen, mirrored, moments, shapes, without_unsound
 from quantloom.schemas import MATRIX, PAIRS, conform, same
+from quantloom.storage import discard, materialise
 
 MAX_STEPS = 100
 LIKELIHOOD_STEP = 1e-6
@@ -89,18 +88,6 @@ def multiple_linear_regression(x: DataFrame, y: DataFrame, on_invalid: str = "ba
     return gram.unionByName(cross).unionByName(square).groupBy("MatrixID").applyInPandas(solve, "MatrixID int, ResultID int, Value double")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df from a table in the shared folder: a loop's lineage ends here and lost executors cost one round."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="quantloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/quantloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def logistic_regression(x: DataFrame, y: DataFrame, normalize: bool = False, on_invalid: str = "batch", max_steps: int = MAX_STEPS) -> DataFrame:
     """MatrixID, Result 'Coefficient Vector', RowNumber, Value, Iterations, StopReason of each matrix.
 
@@ -117,15 +104,15 @@ def logistic_regression(x: DataFrame, y: DataFrame, normalize: bool = False, on_
     x = without_unsound(x, bad, on_invalid)
     if normalize:
         top = x.groupBy(F.col("MatrixID").alias("id"), F.col("ColumnNumber").alias("c")).agg(F.max("Value").alias("top"))
-        top = written(top.withColumn("top", F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)))
+        top = materialise(top.withColumn("top", F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)))
         x = x.join(top, same(x["MatrixID"], top["id"]) & (x["ColumnNumber"] == top["c"])).select("MatrixID", "RowNumber", "ColumnNumber", (F.col("Value") / F.col("top")).alias("Value"))
     wide = x.groupBy("MatrixID", "RowNumber").agg(F.sort_array(F.collect_list(F.struct("ColumnNumber", "Value"))).alias("c"))
     ys = y.select(F.col("MatrixID").alias("id"), F.col("RowNumber").alias("row"), F.col("Value").alias("y"))
     rows = wide.join(ys, same(wide["MatrixID"], ys["id"]) & (wide["RowNumber"] == ys["row"])).select("MatrixID", F.col("c.Value").alias("x"), "y")
-    rows = written(rows)
+    rows = materialise(rows)
     state_schema = "MatrixID int, theta array<double>, likelihood double, done boolean, steps int, reason string"
     first = rows.groupBy("MatrixID").agg(F.first(F.size("x")).alias("n"))
-    state = written(first.select("MatrixID", F.array_repeat(F.lit(START), F.col("n")).alias("theta"), F.lit(None).cast("double").alias("likelihood"), F.lit(False).alias("done"), F.lit(0).alias("steps"), F.lit(None).cast("string").alias("reason")))
+    state = materialise(first.select("MatrixID", F.array_repeat(F.lit(START), F.col("n")).alias("theta"), F.lit(None).cast("double").alias("likelihood"), F.lit(False).alias("done"), F.lit(0).alias("steps"), F.lit(None).cast("string").alias("reason")))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Log-likelihood, gradient and Hessian of the rows of a batch as one array of numbers for each matrix."""
@@ -166,7 +153,9 @@ def logistic_regression(x: DataFrame, y: DataFrame, normalize: bool = False, on_
         joined = rows.join(now, same(rows["MatrixID"], now["id"])).select("MatrixID", "x", "y", "theta")
         sums = joined.mapInPandas(partial, "MatrixID int, k int, v double").groupBy("MatrixID", "k").agg(F.sum("v").alias("v"))
         moved = sums.groupBy("MatrixID").cogroup(open_ones.groupBy("MatrixID")).applyInPandas(step, state_schema)
-        state = written(moved.unionByName(state.filter("done")))
+        later = materialise(moved.unionByName(state.filter("done")))
+        discard(state)
+        state = later
     reason = F.coalesce("reason", F.lit("MaximumIterations"))
     out = state.filter("not (reason <=> 'FailedToSetNextGuess')").select("MatrixID", F.posexplode("theta").alias("k", "Value"), "steps", reason.alias("StopReason"))
     out = out.select("MatrixID", F.lit("Coefficient Vector").alias("Result"), (F.col("k") + 1).alias("RowNumber"), "Value", F.col("steps").alias("Iterations"), "StopReason")

@@ -10,10 +10,8 @@ MATRIX = {"MatrixID": "int", "RowNumber": "int", "ColumnNumber": "int", "Value":
 PAIRS = {"ListID": "int", "X_Value": "double", "Y_Value": "double"}
 POINTS = {"ListID": "int", "X_Value": "double"}
 POLYNOMIAL = {"PolynomialID": "int", "Coefficient": "double", "Exponent": "double"}
-VARIABLE_VALUES = {"VariableValue": "double"}
 CASHFLOWS = {"CashflowSeriesID": "int", "CashflowDate": "date", "Amount": "double"}
 PRICES = {"ID": "int", "CashflowSeriesID": "int", "EffectiveDate": "date", "Price": "double"}
-INTEGER_IDS = {"ID": "int"}
 
 
 def ddl(shape: dict[str, str]) -> str:

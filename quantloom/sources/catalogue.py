@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.storage import materialise
+
 STAMPS = "InsertTime timestamp, UpdateTime timestamp, InsertBy string, UpdateBy string"
 NOTES = "PurposeOrMeaning_Description string, TechnicalNotes string"
 ACTIVE = "RecordIsActive boolean, RecordDeactivationTimestamp timestamp"
@@ -122,9 +124,8 @@ def upsert_databases(stored: DataFrame, new: DataFrame, overwrite: bool = False)
     kept = both.filter(known).select(*(values[c].alias(c) for c in stored.columns))
     added = both.filter(~known).select(*(values[c].alias(c) for c in stored.columns if c != "ID"))
     # numbered in each range of names, from where the ranges before it end; the ranges are drawn once
-    from pyspark.sql import Window
-
-    added = added.repartitionByRange("DatabaseName").withColumn("__part", F.spark_partition_id()).localCheckpoint()
+    added = added.repartitionByRange("DatabaseName").withColumn("__part", F.spark_partition_id())
+    added = materialise(added)
     sizes = added.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     earlier = sizes.select(F.col("__part").alias("__earlier"), F.col("__n").alias("__m"))
     offsets = sizes.join(earlier, F.col("__earlier") < F.col("__part"), "left").groupBy("__part").agg(F.coalesce(F.sum("__m"), F.lit(0)).alias("__offset"))
