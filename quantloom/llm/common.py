@@ -7,14 +7,14 @@ helpers of the operators work on the bytes of a text.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.storage import discard, materialise, scratch  # noqa: F401  (the operators take them from here)
+
 #: ASCII white space: what separates words.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: The same as a pattern for Java's regular expressions.
@@ -32,33 +32,6 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(folds)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; one of our own only where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="quantloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: it cuts lineage and outlives executors."""
-    path = f"{shared_folder(df.sparkSession)}/quantloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what materialise() wrote; only for tables that no later plan reads."""
-    path = getattr(df, "_written_to", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """The UTF-8 bytes of each text of an Arrow column, null as empty."""
     for value in column.cast(pa.large_binary()):

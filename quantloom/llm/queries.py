@@ -13,7 +13,7 @@ from .html_text import extract_text
 from .line_dedup import remove_repeated_lines
 from .lm_score import score_texts
 from .near_dedup import near_duplicates
-from .packing import pack_documents
+from .packing import instruction_examples, pack_documents, pack_examples
 from .pii import find_pii
 from .quality_model import score_quality
 from .quality_rules import judge
@@ -42,6 +42,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in sequences of at most 4096 tokens, 4 conversations and 3200 tokens that bear loss: each limit is reached."""
+    examples = instruction_examples(table(spark, sf_dir, "conversations"), tokenizer_path())
+    return pack_examples(examples, capacity=4096, max_segments=4, max_loss_tokens=3200)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -199,6 +205,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": op8_lm_score,
         "op9_html_text": op9_html_text,
         "op10_line_dedup": op10_line_dedup,
+        "instruction_packing": instruction_packing,
     }
 
 

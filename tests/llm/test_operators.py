@@ -21,7 +21,7 @@ from quantloom.llm.html_text import extract_text, main_text
 from quantloom.llm.line_dedup import remove_repeated_lines
 from quantloom.llm.lm_score import score_texts
 from quantloom.llm.near_dedup import VantageTree, near_duplicates, near_links, one_of_each
-from quantloom.llm.packing import pack_documents, pack_examples
+from quantloom.llm.packing import instruction_examples, pack_documents, pack_examples
 from quantloom.llm.pii import find_pii
 from quantloom.llm.quality_model import keep_good, score_quality
 from quantloom.llm.quality_rules import clean_lines, judge
@@ -154,6 +154,71 @@ def test_packing_examples_keeps_limits(spark):
         assert sum(r["n_tokens"] for r in s) <= 1024 and len(s) <= 4 and sum(r["n_loss_tokens"] for r in s) <= 300
 
 
+def test_packing_long_and_odd_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    n = 2_000_000
+    rows = [(1, " " * n + "x"), (2, " " * n), (3, "ab" * (n // 2)), (4, "\n" * n), (5, "\u00a0 " * (n // 2) + "x"), (6, "a <|endoftext|> b"), (7, None), (None, ""), (8, "same"), (8, "same")]
+    df = docs_of(spark, rows)
+    pieces = pack_documents(df, path).collect()
+    of = defaultdict(list)
+    for p in pieces:
+        of[p["doc_id"]].append(p)
+    for key, text in rows:
+        if key != 8:
+            own = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+            got = sorted(of[key], key=lambda p: p["start"])
+            assert sum(p["length"] for p in got) == len(own) == got[0]["doc_tokens"]
+            assert all(p["ids_crc32"] == zlib.crc32(own[p["start"] : p["start"] + p["length"]].tobytes()) for p in got)
+    assert len(of[8]) == 2
+    small = df.filter("doc_id > 5 or doc_id is null")
+    clashing = small.selectExpr("*", "1 as start", "2 as length", "3 as sequence_id", "4 as offset", "5 as key")
+    assert pack_documents(df.limit(0), path).count() == 0
+    assert pack_documents(clashing, path).filter("start = 0").count() == small.count()
+
+
+def test_instruction_packing_reaches_every_limit(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sf = "/root/testdata/sf0.01"
+    demand = defaultdict(lambda: [0, 0])
+    for r in pq.read_table(f"{sf}/conversations.parquet").to_pylist():
+        n = len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        demand[r["conv_id"]][0] += n
+        demand[r["conv_id"]][1] += n if r["role"] == "assistant" else 0
+    out = llm.instruction_packing(spark, sf).collect()
+    assert {r["example_id"]: [r["n_tokens"], r["n_loss_tokens"]] for r in out} == demand and len(out) == len(demand)
+    by = defaultdict(list)
+    for r in out:
+        if r["sequence_id"] is None:
+            assert r["n_tokens"] > 4096 or r["n_loss_tokens"] > 3200
+        else:
+            by[r["sequence_id"]].append(r)
+    least = min(r["n_tokens"] for r in out)
+    bound = Counter()
+    for s in by.values():
+        s.sort(key=lambda r: r["segment"])
+        tokens, loss = sum(r["n_tokens"] for r in s), sum(r["n_loss_tokens"] for r in s)
+        assert tokens <= 4096 and loss <= 3200 and len(s) <= 4
+        assert [r["segment"] for r in s] == list(range(len(s))) and [r["offset"] for r in s] == [0, *np.cumsum([r["n_tokens"] for r in s])[:-1]]
+        bound["segments" if len(s) == 4 else "tokens" if tokens + least > 4096 else "loss"] += 1
+    assert len(bound) == 3  # each limit closes some sequences
+
+
+def test_packing_examples_odd_tables(spark):
+    rows = [(None, "user", None), (None, None, "no id"), (1, "assistant", ""), (1, "assistant", ""), (2, "user", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, role string, text string").selectExpr("*", "1 as n", "'a' as bears", "9 as n_tokens")
+    found = {r["example_id"]: (r["n_tokens"], r["n_loss_tokens"]) for r in instruction_examples(turns, llm.tokenizer_path()).collect()}
+    assert found == {None: (4, 0), 1: (2, 2), 2: (2, 0)}
+    empty = instruction_examples(turns.limit(0), llm.tokenizer_path())
+    assert empty.count() == 0 and pack_examples(empty).count() == 0
+
+
 # 5
 
 
