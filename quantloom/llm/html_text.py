@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,9 +45,17 @@ UNLIKELY = re.compile(
 #: Classes that say what a container has or lacks beside its own text, and those of article text.
 LAYOUT = re.compile(r"(?:no|non|has|with|without|hide|is)[_-]")
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:\s|$)")
+#: Class, id or role, as a whole, of what readers wrote, and of other parts that are no article.
+COMMENTS = re.compile(r"(?:reader|user|post|article)?[_-]?(?:comments?|commentlist|repl(?:y|ies)|responses?|respond|disqus)(?:[_-](?:list|area|section|thread|threads|block|box|wrapper|container|body|form))?")
+APART = re.compile(
+    r"(?:site|page|left|right)?[_-]?(?:sidebar|footer|navbar|nav|navigation|menu|breadcrumbs?|pagination|pager|ads?|adverts?|advertisements?|sponsored|"
+    r"cookies?|cookie-(?:notice|banner|consent|bar)|gdpr|consent|newsletter|login|signup|popup|modal|contentinfo|complementary)"
+)
 DISCOUNT = 25.0
 #: A marked container with fewer points for its length and commas than this is no article text.
 PROSE = 4.0
+#: So many points beside a part named as no article show that the article is elsewhere.
+SOME_PROSE = 0.5
 START_POINTS = {"article": 25.0, "main": 15.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "form": -3.0}
 LEVELS = 6
 
@@ -60,17 +69,54 @@ class Node:
         self.points, self.length, self.linked, self.holds_semantic, self.marked = 0.0, 0, 0, False, False
 
 
+class OpenElements:
+    """The elements open at a place, outermost first, with the depths of each tag and of what bounds the reach of a start tag."""
+
+    def __init__(self, root: Node):
+        self.path, self.depths, self.bounds = [root], defaultdict(list), [0]
+
+    def push(self, node: Node) -> None:
+        depth = len(self.path)
+        self.path.append(node)
+        self.depths[node.tag].append(depth)
+        if node.tag in SCOPE:
+            self.bounds.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Closes all elements from this depth on."""
+        while len(self.path) > depth:
+            node = self.path.pop()
+            self.depths[node.tag].pop()
+            if node.tag in SCOPE:
+                self.bounds.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the innermost element of its tag, if one is open, and all within."""
+        if self.depths[tag]:
+            self.cut(self.depths[tag][-1])
+
+    def before(self, tag: str) -> None:
+        """Closes what a start tag ends: the innermost such element, for a table row the outermost, within the nearest bound."""
+        ended = ENDS.get(tag, ())
+        if tag in BLOCKS and tag not in ENDS:
+            ended = ("p", *HEADINGS) if tag in HEADINGS else ("p",)
+        bound = self.bounds[-1]
+        open_ones = [d for t in ended for d in (self.depths[t][bisect_right(self.depths[t], bound) :] if tag == "tr" else self.depths[t][-1:]) if d > bound]
+        if open_ones:
+            self.cut(min(open_ones) if tag == "tr" else max(open_ones))
+
+
 def parse(source: str) -> Node:
     """A forgiving tree of a page: scripts and comments are gone, unclosed elements end where HTML ends them."""
-    root = here = Node("html", "", None)
+    root = Node("html", "", None)
     at, n = 0, len(source)
-    opened: Counter[str] = Counter()  # start tags that may still be open
+    here = OpenElements(root)
     closed = source.rfind(">") + 1  # no tag ends later, so none is looked for there
     while at < n:
         m = TOKEN.search(source, at, closed)
         text = source[at : m.start()] if m else source[at:].partition("<!--")[0]
         if text:
-            here.children.append(html.unescape(text) if "&" in text else text)
+            here.path[-1].children.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
@@ -80,15 +126,7 @@ def parse(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if not opened[tag]:
-                continue
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
-            else:
-                opened[tag] = 0  # all of them were closed by others
+            here.end(tag)
             continue
         if tag in ("html", "body"):
             continue
@@ -97,32 +135,14 @@ def parse(source: str) -> Node:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
                 at = end.end() if end else n
             continue
-        here = before(here, tag)
-        node = Node(tag, m[3], here)
-        here.children.append(node)
+        here.before(tag)
+        node = Node(tag, m[3], here.path[-1])
+        node.parent.children.append(node)
         if tag not in VOID and not (m[3].endswith("/") and tag not in BLOCKS):
-            here = node
-            opened[tag] += 1
+            here.push(node)
     return root
 
 
-def before(here: Node, tag: str) -> Node:
-    """Where an element with this tag goes, once the elements that it ends are closed."""
-    ended = ENDS.get(tag, ())
-    if tag in BLOCKS and tag not in ("li", "tr", "td", "th", "dt", "dd"):
-        ended = ("p", *HEADINGS) if tag in HEADINGS else ("p",)
-    node, target = here, None
-    while node.parent is not None:
-        if node.tag in ended:
-            target = node.parent
-            if tag != "tr":
-                break
-        elif node.tag in SCOPE:
-            break
-        node = node.parent
-    return target or here
-
-
 def in_order(root: Node) -> list[Node]:
     """All elements, each before its children."""
     out, todo = [], [root]
@@ -148,43 +168,54 @@ def measure(nodes: list[Node]) -> None:
             node.parent.holds_semantic |= node.holds_semantic or node.tag in SEMANTIC
 
 
-def hidden_or_unlikely(node: Node) -> tuple[bool, bool, bool]:
-    """Whether an element is hidden, whether class, id or role say that it may be no article text, and whether by more than an anchor."""
+def hidden_or_unlikely(node: Node) -> tuple[bool, bool, bool, str]:
+    """Whether an element is hidden, whether class, id or role say that it may be no article text, whether by more
+    than an anchor, and "comments" or "apart" where one of them names such a part as a whole."""
     if not node.attrs.strip():
-        return False, False, False
+        return False, False, False, ""
     attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(node.attrs)}
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")))
     said = {k: re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attrs.get(k, "")).lower().strip() for k in ("class", "id", "role")}
-    kinds = " ".join(c for c in f"{said['class']} {said['role']}".split() if not LAYOUT.match(c))
-    by_kind = bool(UNLIKELY.search(kinds)) and not LIKELY.search(kinds)
-    m = UNLIKELY.search(said["id"]) if not LIKELY.search(kinds) else None
+    kinds = [c for c in f"{said['class']} {said['role']}".split() if not LAYOUT.match(c)]
+    likely = LIKELY.search(" ".join(kinds))
+    by_kind = bool(UNLIKELY.search(" ".join(kinds))) and not likely
+    m = UNLIKELY.search(said["id"]) if not likely else None
     whole_id = m is not None and m[0] == said["id"] and node.tag != "section" and node.tag not in PARAGRAPHS  # ids there are often made from titles
-    return hidden, by_kind or m is not None, by_kind or whole_id
+    names = [*kinds, said["id"]] if node.tag != "section" else kinds
+    part = "comments" if any(map(COMMENTS.fullmatch, names)) else "apart" if not likely and any(map(APART.fullmatch, names)) else ""
+    return hidden, by_kind or m is not None, by_kind or whole_id, part
 
 
 def prune(root: Node) -> None:
     """Takes out what is never article text: by tag, by being hidden, and containers whose class, id or role and own text say so.
 
-    Words of class, id and role alone only mark a container.  A marked one goes if it is mostly links,
-    or has little prose and less than half the text of its article.
+    Containers named as comments go whatever they hold, short of an article; those named as another part
+    go if there is prose beside them.  Words of class, id and role within longer names only mark a
+    container.  A marked one goes if it is mostly links, or has little prose and less than half the
+    text of its article.
     """
     nodes = in_order(root)
     measure(nodes)
     removed: set[Node] = set()
     suspects: dict[Node, bool] = {}
+    named: set[Node] = set()
     around: dict[Node, Node] = {root: root}  # the nearest article, or the page
     for node in nodes:
         if node.parent is None:
             continue
         around[node] = node.parent if node.parent.tag in SEMANTIC else around[node.parent]
-        hidden, unlikely, sure = hidden_or_unlikely(node)
+        hidden, unlikely, sure, part = hidden_or_unlikely(node)
         if node.tag in DROPPED or hidden:
             removed.add(node)
-        elif unlikely and node.tag in BLOCKS and node.tag not in HEADINGS and node.tag not in SEMANTIC:
-            if sure or node.tag not in PARAGRAPHS:
+        elif node.tag in BLOCKS and node.tag not in HEADINGS and node.tag not in SEMANTIC:
+            if part == "comments" and not node.holds_semantic:
+                removed.add(node)
+            elif part == "apart" and not node.holds_semantic and node.tag not in PARAGRAPHS:
+                named.add(node)
+            if unlikely and (sure or node.tag not in PARAGRAPHS):
                 node.marked = True
                 suspects[node] = sure
-    if suspects:
+    if suspects or named:
         length, linked, prose = Counter(), Counter(), Counter()  # without what is removed
         for node in reversed(nodes):
             length[node] += sum(len(c.strip()) for c in node.children if isinstance(c, str))
@@ -202,6 +233,14 @@ def prune(root: Node) -> None:
                 length[node.parent] += length[node]
                 linked[node.parent] += linked[node]
                 prose[node.parent] += prose[node]
+        # a part named as such goes, unless all prose of the page is in it
+        left, under = prose[root], set()
+        for node in nodes:
+            if node.parent in removed or node.parent in under:
+                under.add(node)
+            elif node in named and node not in removed and (prose[node] == 0 or left - prose[node] >= SOME_PROSE):
+                left -= prose[node]
+                removed.add(node)
     for parent in {node.parent for node in removed}:
         parent.children = [c for c in parent.children if c not in removed]
 

@@ -6,8 +6,10 @@ import hashlib
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -451,6 +453,70 @@ def test_html_that_is_never_closed():
         main_text("<p>x</p>" + part * 100_000)
 
 
+def test_html_comments_go_whatever_their_share():
+    text = "The one paragraph of the article, with a comma, that is long enough to count."
+    reply = "<div class='reply-body'><p>I read this with interest, and I must say, at some length, that I do not agree with it at all.</p></div>"
+    for name in ("class='comments'", "id='comments'", "class='comment-list'", "class='widget user-comments'", "id='disqus_thread'", "role='comments'"):
+        assert main_text(f"<div><h1>Title</h1><p>{text}</p></div><div {name}>{reply * 30}</div>") == f"Title\n\n{text}"
+    for name in ("sidebar", "ad", "cookie-notice", "site-footer", "newsletter"):
+        assert main_text(f"<div><div class='x'><p>{text}</p></div><div class='{name}'>{reply * 30}</div></div>") == text
+    assert main_text(f"<div class='sidebar'><p>{text}</p></div>") == text  # all that there is
+    assert text in main_text(f"Stray.<div class='sidebar'><p>{text}</p></div>")
+    assert text in main_text(f"<div class='comments'><article><p>{text}</p></article></div>")
+
+
+def test_html_deep_trees_in_linear_time():
+    for part in ("<span>", "<b><p>", "<div><span>", "<td>", "<li><ul>", "<p><b>"):
+        began = time.process_time()
+        main_text("<p>x</p>" + part * (1_000_000 // len(part)))
+        assert time.process_time() - began < 60
+    began = time.process_time()
+    main_text("<div>" + "<span>" * 20_000 + "<h2>a</h2>" * 20_000)
+    assert time.process_time() - began < 20
+
+
+class PlainReader(HTMLParser):
+    """An independent reader of pages whose article is one <article>: blocks begin and end with h1 and p."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag in ("h1", "p"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        if tag in ("h1", "p"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_html_blocks_of_every_page(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["page_id"]: r["text"] for r in llm.op9_html_text(spark, sf).collect()}
+    pages = pq.read_table(f"{sf}/pages.parquet").to_pylist()
+    assert len(got) == len(pages)
+    for r in pages:
+        reader = PlainReader()
+        reader.feed(r["html"] or "")
+        assert got[r["page_id"]] == "\n\n".join(b for b in (" ".join(x.split()) for x in reader.blocks) if b)
+
+
+def test_html_odd_tables(spark):
+    rows = [(None, None, None), (1, "u", "<p>Only this, a paragraph."), (1, "u", "<p>Only this, a paragraph.")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
+    assert extract_text(df).columns == ["page_id", "url", "text", "n_chars"] and extract_text(df).count() == 3
+    assert extract_text(df.limit(0)).count() == 0
+
+
 def test_html_odd_rows(spark):
     rows = [(1, "u", None), (None, None, ""), (2, "u", "<p>Only this, a paragraph."), (2, "u", "<p>Only this, a paragraph.")]
     out = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
