@@ -166,6 +166,16 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE cu > 0) AS
 FROM scored GROUP BY doc_id, held_out, n
 """
 
+# The article of a page as its author marked it: what the scores must arrive at.
+OP9_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<br>', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(h, '</?(?:h1|p)>'), lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
+    '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS blocks FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c
+"""
+
 OP10_SQL = r"""
 WITH line AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
@@ -210,4 +220,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op3_quality_rules": OP3_SQL, "op8_lm_score": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_decontamination": OP2_SQL, "op3_quality_rules": OP3_SQL, "op8_lm_score": OP8_SQL, "op9_html_text": OP9_SQL, "op10_line_dedup": OP10_SQL}

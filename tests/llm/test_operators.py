@@ -30,7 +30,7 @@ from quantloom.llm.quality_rules import clean_lines, judge
 from quantloom.llm.secrets_scan import best_entropy, find_secrets, redact_secrets, spans_of
 from tests.oracle import compare
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 DOCS = "doc_id long, text string"
 ODD = [(1, None), (2, ""), (3, "   \n\t"), (None, "no id here"), (None, None), (4, "twice"), (4, "twice"), (5, "x" * 200_000), (6, "word " * 50_000), (7, "\U0001f600 é\n\n" * 40)]
