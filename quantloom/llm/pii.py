@@ -1,7 +1,8 @@
 """Personal data by fixed patterns and by bootstrapped contextual extraction, with DataFrame functions alone.
 
-The fixed patterns find the seeds.  The words left and right of a seed are its lexical patterns, and
-every string with a digit or an at sign is an instance that such patterns may also surround.  The
+The fixed patterns find the seeds.  One and two words left and right of a seed, and one on both sides at
+once, are its lexical patterns, and every string with a digit or an at sign is an instance that such
+patterns may also surround.  The
 graph of patterns and instances is scored round by round: a pattern trusts a kind by the share of
 its instances that have it, an instance by the patterns around it.  Instances that end above the
 threshold, have the kind's shape and are no seed are identifiers that the fixed patterns missed.
@@ -12,13 +13,17 @@ enough support and trust go back to the instances, so frequent words cost no mor
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
+#: Characters beside a candidate in which its two words on each side are looked for.
+NEAR = 80
 MIN_SUPPORT = 3.0
 MIN_TRUST = 0.9
 
@@ -43,6 +48,7 @@ TAIL = rf"[^A-Za-z0-9{BLANK}]++(?![^{BLANK}])"
 CANDIDATE = (
     r"\+[0-9][\x20().0-9-]+[0-9]|(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,18}+(?![0-9])|"
     rf"(?<![^{BLANK}])[0-9]{{1,3}}(?:[.:_-][0-9]{{1,3}}){{3}}(?:{TAIL}|(?![^{BLANK}]))|"
+    r"(?<![0-9A-Za-z])[0-9](?:[\x20._/-]?[0-9]){11,18}+(?![0-9A-Za-z@_])|"
     rf"(?<![0-9A-Za-z]){NATIONAL}(?:{TAIL})?+|"
     rf"(?<![^{BLANK}])[^{BLANK}0-9@]*+(?!(?<![A-Za-z])(?=[0-9()./-]*+\x20[()./-]?[0-9]){NATIONAL})[0-9@][^{BLANK}]*+"
 )
@@ -57,21 +63,59 @@ SHAPES = {
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside a higher-order function Spark would compute it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(numbers: Column, join: Callable[[Column, Column], Column], run: int = 128) -> Column:
+    """The numbers (ints) joined up to each place (sum, greatest), in runs: appending copies an array, so runs keep that short."""
+
+    def up_to(part: Column, first: Column) -> Column:
+        return F.aggregate(part, first, lambda done, x: F.concat(done, F.array(F.coalesce(join(F.element_at(done, -1), x), x))))
+
+    def shifted(parts: Column, heads: Column) -> Column:
+        moved = F.transform(parts, lambda part, k: F.when(k == 0, part).otherwise(F.transform(part, lambda x: join(F.get(heads, k - 1), x))))
+        return F.flatten(moved)
+
+    def whole(a: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / run).cast("int")), lambda b: F.slice(a, b * run + 1, F.lit(run)))
+        each = F.transform(runs, lambda part: up_to(F.slice(part, F.lit(2), F.lit(run)), F.slice(part, F.lit(1), F.lit(1))))
+        ends = lambda parts: F.transform(parts, lambda part: F.element_at(part, -1))
+        heads = lambda last: up_to(F.slice(last, F.lit(2), F.size(last)), F.slice(last, F.lit(1), F.lit(1)))
+        return let(each, lambda parts: let(heads(ends(parts)), lambda h: shifted(parts, h)))
+
+    return let(numbers, lambda a: F.when(F.size(a) <= 0, a).otherwise(whole(a)))
+
+
 def found(text: Column, pattern: str, kind: int) -> Column:
     """All matches with their places in code points: what lies between matches tells where they are."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    nothing = F.array().cast(f"array<{SPAN}>")
-
-    def add(so_far: Column, part: Column) -> Column:
-        start = (so_far["at"] + part["gap"]).cast("int")
-        end = (start + F.length(part["m"])).cast("int")
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), part["m"].alias("value"))
-        return F.when(part["m"].isNull(), so_far).otherwise(
-            F.struct(end.alias("at"), F.concat(so_far["spans"], F.array(span)).alias("spans"))
+
+    def placed(m: Column) -> Column:
+        steps = F.zip_with(m, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), lambda x, gap: F.length(gap) + F.length(x))
+        span = lambda x, end: F.struct((end - F.length(x)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x.alias("value"))
+        return F.zip_with(m, running(steps, lambda a, b: a + b), span)
+
+    return let(matches, placed)
+
+
+def outside(extra: Column, base: Column) -> Column:
+    """The extra spans that overlap none of base, by what ends last before them and what starts next."""
+    sign = lambda spans, is_extra: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(is_extra).alias("extra"), s.alias("span")))
+    far = F.lit(-(1 << 31) + 1)
+
+    def free(both: Column) -> Column:
+        ends = running(F.transform(both, lambda x: F.when(x["extra"], far).otherwise(x["span"]["end"])), F.greatest)
+        starts = F.transform(F.reverse(both), lambda x: F.when(x["extra"], far).otherwise(-x["start"]))
+        return let(
+            F.struct(ends.alias("ends"), F.reverse(running(starts, F.greatest)).alias("starts")),
+            lambda near: F.transform(
+                F.filter(both, lambda x, k: x["extra"] & (F.get(near["ends"], k) <= x["start"]) & (-F.get(near["starts"], k) >= x["span"]["end"])), lambda x: x["span"]
+            ),
         )
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), nothing.alias("spans")), add, lambda x: x["spans"])
+    return let(F.sort_array(F.concat(sign(base, False), sign(extra, True))), free)
 
 
 def luhn(digits: Column) -> Column:
@@ -117,7 +161,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     with_any = docs.filter(F.col("text").rlike("[0-9@]"))
     spans = with_any.select("doc", "twin", found(F.col("text"), CANDIDATE, 0).alias("spans"), F.split("text", CANDIDATE, -1).alias("gaps"))
     each = spans.select("doc", "twin", "gaps", F.posexplode("spans").alias("k", "span"))
-    left, right = F.get("gaps", F.col("k")), F.get("gaps", F.col("k") + 1)
+    left, right = F.right(F.get("gaps", F.col("k")), F.lit(NEAR)), F.left(F.get("gaps", F.col("k") + 1), F.lit(NEAR))
     value = F.regexp_extract(F.col("span.value"), TRIM, 2)
     start = F.col("span.start") + F.length(F.regexp_extract(F.col("span.value"), TRIM, 1))
     placed = each.select(
@@ -126,12 +170,18 @@ def candidates(docs: DataFrame) -> DataFrame:
         start.alias("start"),
         (start + F.length(value)).alias("end"),
         value.alias("value"),
-        F.lower(F.regexp_extract(left, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1)).alias("left"),
-        F.lower(F.regexp_extract(right, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1)).alias("right"),
+        F.lower(F.regexp_extract(left, rf"([^{BLANK}]++)[{BLANK}]*+$", 1)).alias("left"),
+        F.lower(F.regexp_extract(left, rf"([^{BLANK}]++)[{BLANK}]++[^{BLANK}]++[{BLANK}]*+$", 1)).alias("left2"),
+        F.lower(F.regexp_extract(right, rf"^[{BLANK}]*+([^{BLANK}]++)", 1)).alias("right"),
+        F.lower(F.regexp_extract(right, rf"^[{BLANK}]*+[^{BLANK}]++[{BLANK}]++([^{BLANK}]++)", 1)).alias("right2"),
     ).filter(F.length("value") >= 4)
     seed = F.coalesce(*(F.when(F.col("value").rlike("^(?:" + PATTERNS[k] + ")$") & valid(k, F.col("value")), i) for i, k in enumerate(KINDS)))
-    around = F.array(F.concat(F.lit("< "), "left"), F.concat(F.lit("> "), "right"))
-    return placed.select("doc", "twin", "start", "end", "value", F.filter(around, lambda p: F.length(p) > 2).alias("patterns"), seed.alias("seed"))
+
+    def joined(side: str, *words: str) -> Column:
+        return F.when(F.length(words[0]) * F.length(words[-1]) > 0, F.concat_ws(" ", F.lit(side), *words))
+
+    around = F.array(joined("<", "left"), joined("<", "left2", "left"), joined(">", "right"), joined(">", "right", "right2"), joined("=", "left", "right"))
+    return placed.select("doc", "twin", "start", "end", "value", F.array_compact(around).alias("patterns"), seed.alias("seed"))
 
 
 def bootstrap(places: DataFrame, rounds: int = ROUNDS, min_support: float = MIN_SUPPORT, min_trust: float = MIN_TRUST) -> DataFrame:
@@ -145,12 +195,16 @@ def bootstrap(places: DataFrame, rounds: int = ROUNDS, min_support: float = MIN_
         sums = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"s{k}").alias(f"s{k}") for k in kinds))
         share = [F.when(F.col(f"s{k}") >= min_support, F.col(f"s{k}") / (F.col("n") + 1)).otherwise(0.0).alias(f"c{k}") for k in kinds]
         patterns = sums.select("pattern", *share).filter(" or ".join(f"c{k} >= 0.5" for k in kinds))
-        # 1 - the product of the doubts of the patterns around an instance
-        doubt = [F.exp(F.sum(F.log(F.lit(1.0) - F.col(f"c{k}")))) for k in kinds]
-        shaped = [F.when(F.col("value").rlike(SHAPES[name]), 1 - d).otherwise(0.0).alias(f"t{k}") for (k, name), d in zip(enumerate(KINDS), doubt, strict=True)]
-        known = materialise(links.filter("seed is null").join(patterns, "pattern").groupBy("value").agg(*shaped))
+        # a side is trusted as its best pattern is; the sides' doubts multiply, and both at once may be one pattern
+        best = lambda k, side: F.coalesce(F.max(F.when(F.col("pattern").startswith(side), F.col(f"c{k}"))), F.lit(0.0))
+        trusted = [F.greatest(1 - (1 - best(k, "<")) * (1 - best(k, ">")), best(k, "=")) for k in kinds]
+        shaped = [F.when(F.col("value").rlike(SHAPES[name]), t).otherwise(0.0).alias(f"t{k}") for (k, name), t in zip(enumerate(KINDS), trusted, strict=True)]
+        earlier, known = known, materialise(links.filter("seed is null").join(patterns, "pattern").groupBy("value").agg(*shaped))
+        if earlier is not None:
+            discard(earlier)
         learned = [F.coalesce(F.col(f"t{k}"), trust[k]).alias(f"s{k}") for k in kinds]
         scored = links.join(known, "value", "left").select("pattern", "value", "seed", *learned)
+    discard(links)
     best = F.greatest(*(F.col(f"t{k}") for k in kinds))
     kind = F.coalesce(*(F.when(F.col(f"t{k}") == best, k) for k in kinds))
     return known.select("value", kind.alias("kind"), best.alias("trust")).filter(F.col("trust") >= min_trust)
@@ -176,8 +230,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     each = texts.select("doc", "twin", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
     base = each.select("doc", "twin", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sort_array(F.concat(*KINDS)).alias("base"))
     joined = base.join(extra, [base["doc"].eqNullSafe(extra["__doc"]), base["twin"] == extra["__twin"]], "left")
-    free = F.filter("extra", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    more = F.coalesce(free, F.array().cast(f"array<{SPAN}>"))
+    more = F.when(F.col("extra").isNotNull(), outside(F.col("extra"), F.col("base"))).otherwise(F.array().cast(f"array<{SPAN}>"))
     return joined.withColumn("more", more).select(
         F.col("doc").alias("doc_id"),
         *(f"n_{k}" for k in KINDS),

@@ -272,6 +272,64 @@ def test_pii_contexts_reveal_national_numbers(spark):
     assert found[200] == "phone:13:26" and found[201] == "ip:20:33" and found[202] == "phone:14:27"
 
 
+def test_pii_recall_and_precision_of_planted_identifiers(spark):
+    """Identifiers that no fixed pattern finds, in the contexts of others that they do; look-alikes elsewhere."""
+    rng = np.random.default_rng(5)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+
+    def card() -> str:
+        d = digits(15)
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    known = {
+        "email": lambda: f"{word()}@{word()}.org",
+        "ip": lambda: ".".join(str(x) for x in rng.integers(1, 255, 4)),
+        "card": card,
+        "phone": lambda: f"+4{digits(10)}",
+    }
+    unseen = {
+        "email": lambda: f"{word()}@{word()}",
+        "ip": lambda: "-".join(str(x) for x in rng.integers(10, 99, 4)),
+        "card": lambda: ".".join(digits(4) for _ in range(4)),
+        "phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+    }
+    frames = {
+        "email": ("Please send mail to {} before Friday", "her address is {} as far as we know", "contact {} for details"),
+        "ip": ("The host at {} did not answer", "logged in from {} last night", "server {} is down"),
+        "card": ("My card number is {} and valid", "charged to card {} yesterday", "pay with {} please"),
+        "phone": ("You can call {} at noon", "her phone number is {} since May", "dial {} from abroad"),
+    }
+    rows, planted = [], {}
+    for kind, texts in frames.items():
+        for f in texts:
+            rows += [(len(rows) + k, f.format(known[kind]())) for k in range(30)]
+            for _ in range(10):
+                value = unseen[kind]()
+                planted[len(rows)] = f"{kind}:{f.index('{')}:{f.index('{') + len(value)}"
+                rows.append((len(rows), f.format(value)))
+    others = ("release {} of the engine", "chapter {} begins here", "order {} was sent", "see figure {} above", "room {} is free")
+    decoys = {len(rows) + k: others[k % 5].format(list(unseen.values())[k % 4]()) for k in range(200)}
+    rows += list(decoys.items())
+    found = {r["doc_id"]: r["spans"] for r in find_pii(docs_of(spark, rows)).collect()}
+    hit = sum(planted[k] in found[k].split(",") for k in planted)
+    false = sum(found[k] != "" for k in decoys)
+    assert hit >= 0.9 * len(planted) and false == 0
+
+
+def test_pii_long_tables_in_linear_time(spark):
+    rng = np.random.default_rng(55)
+    numbers = [str(x) for x in rng.integers(10**11, 10**13, 80_000)]
+    text = "\n".join(numbers) + "\nmail a@b.org +49 30 1234567"
+    assert len(text) > 1_000_000
+    began = time.time()
+    (r,) = find_pii(docs_of(spark, [(1, text)])).collect()
+    assert time.time() - began < 120
+    kinds = ("email", "ip", "card", "phone")
+    base = base_pii(text)
+    assert r["base_sha256"] == digest([(a, i, b) for i, k in enumerate(kinds) for a, b in base[k]], kinds)
+
+
 # 6
 
 
