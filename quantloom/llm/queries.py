@@ -152,17 +152,19 @@ d AS (
 w AS (
   SELECT doc_id, held_out, list_append(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') AS w
   FROM d),
-token AS (SELECT doc_id, held_out, unnest(w) AS w, unnest(list_prepend('', w)[1:len(w)]) AS h FROM w),
+token AS (SELECT doc_id, held_out, unnest(w) AS w, unnest(list_prepend('', w)[1:len(w)]) AS h, unnest(list_prepend(NULL, list_prepend('', w))[1:len(w)]) AS g FROM w),
 unigram AS (SELECT w, count(*) AS c FROM token WHERE NOT held_out GROUP BY w),
 context AS (SELECT h, count(*) AS c FROM token WHERE NOT held_out GROUP BY h),
 bigram AS (SELECT h, w, count(*) AS c FROM token WHERE NOT held_out GROUP BY h, w),
+trigram AS (SELECT g, h, w, count(*) AS c FROM token WHERE NOT held_out AND g IS NOT NULL GROUP BY g, h, w),
 size AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM unigram),
 scored AS (
-  SELECT doc_id, held_out, n, coalesce(u.c, 0) AS cu, coalesce(x.c, 0) AS ch, coalesce(b.c, 0) AS cb,
-    (coalesce(u.c, 0) + 1) / (n + v + 1) AS p
-  FROM token t CROSS JOIN size LEFT JOIN unigram u ON t.w = u.w LEFT JOIN context x ON t.h = x.h LEFT JOIN bigram b ON t.h = b.h AND t.w = b.w)
+  SELECT doc_id, held_out, n, coalesce(u.c, 0) AS cu, coalesce(x.c, 0) AS ch, coalesce(b.c, 0) AS cb, coalesce(y.c, 0) AS cg, coalesce(t3.c, 0) AS ct,
+    (coalesce(u.c, 0) + 1) / (n + v + 1) AS p, (cb + 1000 * p) / (ch + 1000) AS p2, (ct + 1000 * p2) / (cg + 1000) AS p3
+  FROM token t CROSS JOIN size LEFT JOIN unigram u ON t.w = u.w LEFT JOIN context x ON t.h = x.h LEFT JOIN bigram b ON t.h = b.h AND t.w = b.w
+    LEFT JOIN bigram y ON t.g = y.h AND t.h = y.w LEFT JOIN trigram t3 ON t.g = t3.g AND t.h = t3.h AND t.w = t3.w)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE cu > 0) AS n_known, n AS train_tokens,
-  round(sum(log10(p)), 6) AS base_score, round(sum(log10((cb + 1000 * p) / (ch + 1000))), 6) AS score
+  round(sum(log10(p)), 6) AS base_score, round(sum(log10(p3)), 6) AS score
 FROM scored GROUP BY doc_id, held_out, n
 """
 
