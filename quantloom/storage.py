@@ -41,15 +41,22 @@ def file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back."""
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back; given a column, in buckets, so that grouping by it shuffles nothing."""
     spark = df.sparkSession
     root = f"{shared_folder(spark)}/quantloom-{spark.sparkContext.applicationId}"
-    path = f"{root}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = uuid.uuid4().hex
+    path = f"{root}/{name}"
+    if by is None:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(f"quantloom_{name}")
+        out = spark.table(f"quantloom_{name}")
+        out._table = f"quantloom_{name}"
     where, files = file_system(spark, root)
     files.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     held = _held.get()
     if held is not None:
@@ -61,6 +68,8 @@ def discard(df: DataFrame) -> None:
     """Delete what materialise() wrote; only for tables that no later plan reads."""
     path = getattr(df, "_written_to", None)
     if path:
+        if hasattr(df, "_table"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
         where, files = file_system(df.sparkSession, path)
         files.delete(where, True)
 

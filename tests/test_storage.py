@@ -46,3 +46,11 @@ def test_scratch_deletes_what_was_written_within(spark):
     assert os.path.isdir(outer._written_to)
     discard(outer)
     assert not os.path.isdir(outer._written_to)
+
+
+def test_buckets_need_no_shuffle(spark):
+    rows = materialise(spark.range(100).selectExpr("id % 7 as k", "id"), by="k")
+    plan = rows.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and rows.count() == 100
+    discard(rows)
+    assert not os.path.isdir(rows._written_to) and not spark.catalog.tableExists(rows._table)
