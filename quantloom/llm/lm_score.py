@@ -13,7 +13,7 @@ text is read once from left to right, carrying the state: where it has no arc fo
 failure arcs are followed, and their weights added, up to one that has.
 
 Counts are of all training texts, and the model as a whole is in no place at once.  Texts are cut
-into blocks, which are kept as tables of numbers.  Each block sends the 64-bit keys of its distinct
+into blocks, which are kept as tables of numbers.  Each block sends the 56-bit keys of its distinct
 words, bigrams and trigrams, with its training counts, to buckets by ranges of keys; a bucket adds
 the counts of equal keys of all blocks and returns the totals to each block that asked.  So a block
 gets just the part of the automaton that its own texts can reach.  A key comes once from each block
@@ -38,14 +38,16 @@ from pyspark.sql import functions as F
 from .common import byte_texts, fold, in_pieces, materialise
 
 #: Weight of the shorter context in each longer one, in tokens.
-PRIOR = 1000.0
+PRIOR = 100.0
 FOLDS, HELD_OUT = 7, 2
 BLOCK_BYTES = 8 << 20
 #: Text for each bucket: what is sent to one takes some twice as many bytes in its task.
 BUCKET_BYTES = 6 << 20
 #: A task numbers its blocks from its partition's number times this.
 BLOCKS_PER_TASK = 1 << 32
-END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
+#: Keys have 56 bits: of 10^13 n-grams one in several thousand shares its key, and so its count, with another.
+SPARE_BITS = np.uint64(8)
+END, START = np.uint64(0x9AE16A3B2F90404F) >> SPARE_BITS, np.uint64(0xC949D7C7509E6557) >> SPARE_BITS
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -60,11 +62,11 @@ def unsqueezed(data: bytes, dtype: str) -> np.ndarray:
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """64-bit keys of pairs of word keys."""
+    """Keys of pairs of keys."""
     with np.errstate(over="ignore"):
         k = first * np.uint64(0x9E3779B97F4A7C15) ^ (second + np.uint64(0x7F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
         k = (k ^ (k >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return k ^ (k >> np.uint64(29))
+    return (k ^ (k >> np.uint64(29))) >> SPARE_BITS
 
 
 class Block:
@@ -98,7 +100,7 @@ class Block:
             parts.append(np.zeros(1, dtype=np.int32))
         seq = np.concatenate(parts)
         lengths = np.diff(np.concatenate([[-1], np.flatnonzero(seq == 0)]))
-        keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), dtype=np.uint64, count=len(number))
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), dtype=np.uint64, count=len(number)) >> SPARE_BITS
         return seq, lengths, np.concatenate([[END], keys])
 
     def ngram_keys(self) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +122,7 @@ def asked(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[
 
 def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where the ranges of the buckets begin among sorted keys."""
-    bounds = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
+    bounds = np.array([(b << 56) // buckets for b in range(1, buckets)], dtype=np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
@@ -201,17 +203,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(text_col).alias("text"),
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    stored = {"block": "long", "doc_ids": f"array<{kind}>", "held_out": "array<boolean>", "lengths": "binary", "seq": "binary", "keys": "binary", "tokens": "long", "bytes": "long"}
+    stored = {"task": "int", "block": "long", "doc_ids": f"array<{kind}>", "held_out": "array<boolean>", "lengths": "binary", "seq": "binary", "keys": "binary", "tokens": "long", "bytes": "long"}
 
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() * BLOCKS_PER_TASK
+        task = TaskContext.get().partitionId()
+        number = task * BLOCKS_PER_TASK
         ids, held, texts, gathered, id_type = [], [], [], 0, pa.null()
 
         def row() -> pa.RecordBatch:
             nonlocal number, ids, held, texts, gathered
             seq, lengths, keys = Block.of(texts)
-            values = [number, ids, held, squeezed(lengths.astype("<i4")), squeezed(seq), keys.tobytes(), int(lengths[~np.array(held, dtype=bool)].sum()), gathered]
-            types = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), *[pa.binary()] * 3, pa.int64(), pa.int64()]
+            values = [task, number, ids, held, squeezed(lengths.astype("<i4")), squeezed(seq), squeezed(keys), int(lengths[~np.array(held, dtype=bool)].sum()), gathered]
+            types = [pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), *[pa.binary()] * 3, pa.int64(), pa.int64()]
             number, ids, held, texts, gathered = number + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], list(stored))
 
@@ -227,7 +230,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield row()
 
-    blocks = materialise(rows.mapInArrow(block_rows, ", ".join(f"{c} {t}" for c, t in stored.items())))
+    # in buckets by task, so that one file is written by each task and blocks meet their answers without a shuffle
+    blocks = materialise(rows.mapInArrow(block_rows, ", ".join(f"{c} {t}" for c, t in stored.items())), by="task")
     known = blocks.agg(F.sum("tokens"), F.sum("bytes")).first()
     tokens, buckets = int(known[0] or 0), max(1, math.ceil((known[1] or 0) / bucket_bytes))
     wide = max(1, buckets // 16)  # words are far fewer
@@ -236,47 +240,50 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """The numbers, lengths and keys of a block, and for each number whether it is of a training text."""
         row = {name: batch.column(name)[k].as_py() for name in ("held_out", "lengths", "seq", "keys")}
         lengths = unsqueezed(row["lengths"], "<i4").astype(np.int64)
-        return unsqueezed(row["seq"], "<i4").astype(np.int64), lengths, np.frombuffer(row["keys"], dtype="<u8"), np.repeat(~np.array(row["held_out"], dtype=bool), lengths)
+        return unsqueezed(row["seq"], "<i4").astype(np.int64), lengths, unsqueezed(row["keys"], "<u8"), np.repeat(~np.array(row["held_out"], dtype=bool), lengths)
 
-    request = "block long, bucket int, size int, keys binary, counts binary"
+    request = "task int, block long, bucket int, size int, keys binary, counts binary"
 
     def packed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         for part in in_pieces(rows, 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], [c.split()[0] for c in request.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], [c.split()[0] for c in request.split(", ")])
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 seq, _, keys, teaches = training(batch, k)
-                number = batch.column("block")[k].as_py()
-                yield from packed((number, b, 1, *sent) for b, *sent in asked(keys, np.bincount(seq, teaches, len(keys)), wide))
+                own = batch.column("task")[k].as_py(), batch.column("block")[k].as_py()
+                yield from packed((*own, b, 1, *sent) for b, *sent in asked(keys, np.bincount(seq, teaches, len(keys)), wide))
 
     def ask_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 seq, lengths, keys, teaches = training(batch, k)
-                block, number = Block(seq, lengths, keys), batch.column("block")[k].as_py()
+                block, own = Block(seq, lengths, keys), (batch.column("task")[k].as_py(), batch.column("block")[k].as_py())
                 bigrams, trigrams = block.ngram_keys()
-                yield from packed((number, b, 2, *sent) for b, *sent in asked(bigrams, np.bincount(block.bigram_of, teaches, len(bigrams)), buckets))
+                yield from packed((*own, b, 2, *sent) for b, *sent in asked(bigrams, np.bincount(block.bigram_of, teaches, len(bigrams)), buckets))
                 later = block.trigram_of >= 0
-                yield from packed((number, b, 3, *sent) for b, *sent in asked(trigrams, np.bincount(block.trigram_of[later], teaches[later], len(trigrams)), buckets))
+                yield from packed((*own, b, 3, *sent) for b, *sent in asked(trigrams, np.bincount(block.trigram_of[later], teaches[later], len(trigrams)), buckets))
 
     def answer(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         counts = [unsqueezed(c, "<i4") for c in part["counts"]]
         total, distinct = totals([undeltas(k) for k in part["keys"]], counts)
         at = np.cumsum([0, *map(len, counts)])
-        out = part[["block", "bucket", "size"]].assign(counts=[squeezed(total[a:b]) for a, b in zip(at, at[1:], strict=False)])
+        out = part[["task", "block", "bucket", "size"]].assign(counts=[squeezed(total[a:b]) for a, b in zip(at, at[1:], strict=False)])
         return out.assign(known=[distinct] + [0] * (len(part) - 1))
 
     def answers(ask: Callable) -> DataFrame:
-        return blocks.mapInArrow(ask, request).groupBy("size", "bucket").applyInPandas(answer, "block long, bucket int, size int, counts binary, known long")
+        return blocks.mapInArrow(ask, request).groupBy("size", "bucket").applyInPandas(answer, "task int, block long, bucket int, size int, counts binary, known long")
 
     words = materialise(answers(ask_words))
     vocabulary = int(words.agg(F.sum("known")).first()[0] or 0)
 
     def score(key: tuple, blocks: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        row, got = blocks.iloc[0], got.sort_values(["size", "bucket"])
-        block = Block(unsqueezed(row["seq"], "<i4").astype(np.int64), unsqueezed(row["lengths"], "<i4").astype(np.int64), np.frombuffer(row["keys"], dtype="<u8"))
+        by_block = dict(list(got.sort_values(["size", "bucket"]).groupby("block")))
+        return pd.concat([scored(row, by_block[row["block"]]) for _, row in blocks.iterrows()])
+
+    def scored(row: pd.Series, got: pd.DataFrame) -> pd.DataFrame:
+        block = Block(unsqueezed(row["seq"], "<i4").astype(np.int64), unsqueezed(row["lengths"], "<i4").astype(np.int64), unsqueezed(row["keys"], "<u8"))
         counts = []
         for size, keys in enumerate((block.keys, *block.ngram_keys()), 1):
             told = [unsqueezed(c, "<i8") for c in got.loc[got["size"] == size, "counts"]]
@@ -297,6 +304,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
 
     wanted = words.drop("known").unionByName(answers(ask_ngrams).drop("known"))
-    return blocks.drop("tokens", "bytes").groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(
+    return blocks.drop("tokens", "bytes").groupBy("task").cogroup(wanted.groupBy("task")).applyInPandas(
         score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

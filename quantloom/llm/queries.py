@@ -160,7 +160,7 @@ trigram AS (SELECT g, h, w, count(*) AS c FROM token WHERE NOT held_out AND g IS
 size AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM unigram),
 scored AS (
   SELECT doc_id, held_out, n, coalesce(u.c, 0) AS cu, coalesce(x.c, 0) AS ch, coalesce(b.c, 0) AS cb, coalesce(y.c, 0) AS cg, coalesce(t3.c, 0) AS ct,
-    (coalesce(u.c, 0) + 1) / (n + v + 1) AS p, (cb + 1000 * p) / (ch + 1000) AS p2, (ct + 1000 * p2) / (cg + 1000) AS p3
+    (coalesce(u.c, 0) + 1) / (n + v + 1) AS p, (cb + 100 * p) / (ch + 100) AS p2, (ct + 100 * p2) / (cg + 100) AS p3
   FROM token t CROSS JOIN size LEFT JOIN unigram u ON t.w = u.w LEFT JOIN context x ON t.h = x.h LEFT JOIN bigram b ON t.h = b.h AND t.w = b.w
     LEFT JOIN bigram y ON t.g = y.h AND t.h = y.w LEFT JOIN trigram t3 ON t.g = t3.g AND t.h = t3.h AND t.w = t3.w)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE cu > 0) AS n_known, n AS train_tokens,
