@@ -16,6 +16,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER = "spark.checkpoint.dir"
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 1 << 16
 _held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
 
 
@@ -41,6 +42,11 @@ def file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+def expected_bytes(df: DataFrame) -> int:
+    """The size of a table as the optimizer expects it: of files as they are stored."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back; given a column, in buckets, so that grouping by it shuffles nothing."""
     spark = df.sparkSession
@@ -51,7 +57,7 @@ def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
         df.write.parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
     else:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(expected_bytes(df) // BUCKET_BYTES, MOST_BUCKETS))
         df.write.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(f"quantloom_{name}")
         out = spark.table(f"quantloom_{name}")
         out._table = f"quantloom_{name}"
