@@ -43,8 +43,9 @@ def file_system(spark: SparkSession, path: str):
 
 
 def expected_bytes(df: DataFrame) -> int:
-    """The size of a table as the optimizer expects it: of files as they are stored."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """The size of a table as the optimizer expects it, of files as they are stored; 0 where it knows none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
