@@ -101,6 +101,57 @@ def test_decontamination_cases(spark):
     assert {r["doc_id"] for r in remove_contaminated(docs_of(spark, rows), items, block_bytes=20).collect()} == {2, 4, 5}
 
 
+def brute_contamination(docs: dict, items: dict) -> set:
+    strip = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    split = lambda t: words(low(t or "").translate(strip))
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    out = set()
+    for i, item in items.items():
+        w = split(item)
+        if w:
+            n = min(5, len(w))
+            own = grams(w, n)
+            for d, text in docs.items():
+                shared = len(own & grams(split(text), n))
+                if shared >= math.ceil(0.8 * len(own) - 1e-9):
+                    out.add((d, i, len(own), shared))
+    return out
+
+
+def test_decontamination_is_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{k}" for k in range(400)]
+    passage = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = {k: passage(int(rng.integers(1, 90))) for k in range(150)} | {900: None, 901: "", 902: "..."}
+    docs = {k: passage(int(rng.integers(0, 150))) for k in range(60)}
+    for k in range(60, 260):  # an item, with some of its words changed, in a longer text
+        w = words(items[int(rng.integers(150))])
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(len(w)))] = "changed"
+        docs[k] = f"{passage(30)} {' '.join(w)}, {passage(30)}"
+    docs |= {500: None, 501: "", 502: "!?"}
+    brute = brute_contamination(docs, items)
+    assert len({n for *_, n, _ in brute}) > 20
+    d, i = docs_of(spark, list(docs.items())), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for block_bytes in (1 << 20, 20):  # by broadcast, and by joins
+        pairs = find_contamination(d, i, block_bytes=block_bytes)
+        assert {(r["doc_id"], r["item_id"], r["n_shingles"], r["n_shared"]) for r in pairs.collect()} == brute
+        assert {r["doc_id"] for r in remove_contaminated(d, i, block_bytes=block_bytes).collect()} == set(docs) - {p[0] for p in brute}
+
+
+def test_decontamination_odd_tables(spark):
+    item = "one two three four five six"
+    rows = [(1, f"x {item} y"), (1, f"x {item} y"), (None, item), (2, None), (3, "word " * 300_000)]
+    d = docs_of(spark, rows).selectExpr("*", "1 as md5", "2 as item_id", "3 as hash", "4 as n_shared")
+    i = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None)], "item_id long, text string")
+    for block_bytes in (1 << 20, 20):
+        pairs = Counter((r["doc_id"], r["item_id"]) for r in find_contamination(d, i, block_bytes=block_bytes).collect())
+        assert pairs == {(1, 7): 2, (1, None): 2, (None, 7): 1, (None, None): 1}
+        kept = remove_contaminated(d, i, block_bytes=block_bytes)
+        assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+        assert find_contamination(d.limit(0), i, block_bytes=block_bytes).count() == 0 and find_contamination(d, i.limit(0), block_bytes=block_bytes).count() == 0
+
+
 # 3
 
 
