@@ -160,7 +160,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     """
     with_any = docs.filter(F.col("text").rlike("[0-9@]"))
     spans = with_any.select("doc", "twin", found(F.col("text"), CANDIDATE, 0).alias("spans"), F.split("text", CANDIDATE, -1).alias("gaps"))
-    each = spans.select("doc", "twin", "gaps", F.posexplode("spans").alias("k", "span"))
+    # outer, as Spark would otherwise infer a filter that finds the spans several times over
+    each = spans.select("doc", "twin", "gaps", F.posexplode_outer("spans").alias("k", "span")).filter("k is not null")
     left, right = F.right(F.get("gaps", F.col("k")), F.lit(NEAR)), F.left(F.get("gaps", F.col("k") + 1), F.lit(NEAR))
     value = F.regexp_extract(F.col("span.value"), TRIM, 2)
     start = F.col("span.start") + F.length(F.regexp_extract(F.col("span.value"), TRIM, 1))
