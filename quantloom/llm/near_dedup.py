@@ -3,8 +3,10 @@
 Fingerprints within 3 of 64 bits are within 1 in one of their two halves.  Each half has a tree: a
 node parts its fingerprints by their Hamming distance from a vantage point at the median of a
 bounded sample.  Beyond the median no partner lies further than the triangle bound allows, so a
-fingerprint goes to the far branch too only if it is within 1 of the boundary.  Leaves are shards;
-inside a shard the same trees go on until the rest is small enough to compare.
+fingerprint goes to the far branch too only if it is within 1 of the boundary.  Leaves are shards.  Where
+many fingerprints share a half, no tree over that half can part them: a shard that is too large is
+parted by the tree over the other half, in which partners lie within all 3 bits.  Inside a shard
+trees over both halves go on until the rest is small enough to compare.
 
 Equal fingerprints are one node from the start, a shard gives the links of a spanning forest only,
 and components are found over tables, so no step grows with the square of a group of copies.
@@ -27,9 +29,10 @@ from .components import components
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-SAMPLE = 1 << 16
+#: The trees' sample: a 4096th of the fingerprints, within these bounds (the upper one is 32 MB).
+SAMPLE, LARGEST_SAMPLE, SHARE = 1 << 16, 1 << 22, 1 << 12
 SHARD = 1 << 9
-#: Rows of a shard that one task compares; larger shards are compared block by block.
+#: Rows of a shard that one task compares; what is larger still, parted by both halves, is compared block by block.
 BLOCK = 1 << 18
 HALVES = 2
 HALF = np.uint64(0xFFFFFFFF)
@@ -103,16 +106,17 @@ class VantageTree:
             values.append(x)
         return len(self.bound) - 1
 
-    def shards(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of a point, leaf): every leaf that a point lies in or within the radius of."""
+    def shards(self, points: np.ndarray, radius: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(index of a point, leaf): every leaf that a point lies in or within the radius of (the tree's own, or another)."""
+        radius = self.radius if radius is None else radius
         which, at = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
+        done = [(which[:0], at[:0])]
         while len(which):
             leaf = self.inner[at] < 0
             done.append((which[leaf], at[leaf]))
             which, at = which[~leaf], at[~leaf]
             d = np.bitwise_count(points[which] ^ self.vantage[at])
-            near, far = d <= self.bound[at], d + self.radius > self.bound[at]
+            near, far = d <= self.bound[at], d + radius > self.bound[at]
             which, at = np.concatenate([which[near], which[far]]), np.concatenate([self.inner[at[near]], self.outer[at[far]]])
         return np.concatenate([w for w, _ in done]), np.concatenate([a for _, a in done])
 
@@ -136,23 +140,34 @@ def forest(fps: np.ndarray, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarr
                 frontier.extend(found)
 
 
+def parted(fps: np.ndarray, k: int, radius: int, size: int) -> Iterator[np.ndarray]:
+    """The fingerprints in parts by a tree over half k: any two within the radius in that half share one."""
+    which, leaf = VantageTree(half(fps, k), radius, size / 2).shards(half(fps, k))
+    order = np.argsort(leaf, kind="stable")
+    for part in np.split(which[order], np.flatnonzero(np.diff(leaf[order])) + 1):
+        yield fps[part]
+
+
 def links_in_shard(fps: np.ndarray, k: int, max_bits: int, size: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between a shard's points; a large shard is parted further by a tree over its own half."""
+    """Links between a shard's points; a large shard is parted further by a tree over its own half, then by one over the other."""
     if len(fps) <= size:
         yield from forest(fps, max_bits)
         return
-    which, leaf = VantageTree(half(fps, k), max_bits // HALVES, size / 2).shards(half(fps, k))
-    order = np.argsort(leaf, kind="stable")
-    for part in np.split(which[order], np.flatnonzero(np.diff(leaf[order])) + 1):
-        yield from forest(fps[part], max_bits)
+    for part in parted(fps, k, max_bits // HALVES, size):
+        if len(part) <= size:
+            yield from forest(part, max_bits)
+        else:
+            for rest in parted(part, 1 - k, max_bits, size):
+                yield from forest(rest, max_bits)
 
 
 def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints (column fp) within max_bits of each other."""
     spark = nodes.sparkSession
     n = nodes.count()
-    # about ``sample`` rows and a quarter at most, drawn by hash; only shards depend on which, not results
-    few = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, n))) < min(sample, n // 4))
+    # drawn by hash, a quarter of the rows at most; only shards depend on which, not results
+    wanted = min(max(sample, min(n // SHARE, LARGEST_SAMPLE)), n // 4)
+    few = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, n))) < wanted)
     drawn = np.array([r[0] for r in few.select("fp").collect()], dtype=np.int64).view(np.uint64)
     drawn.sort()
     share = max(1.0, n / max(1, len(drawn)))
@@ -166,16 +181,34 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE,
                 arrays = [pa.array(leaf * HALVES + k), pa.array(fps[which].view(np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, ["shard", "fp"])
 
+    def by_other_half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards = batch.column(0).to_numpy(zero_copy_only=False)
+            fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k, tree in enumerate(trees.value):
+                own = shards % HALVES == 1 - k
+                which, leaf = tree.shards(half(fps[own], k), max_bits)
+                arrays = [pa.array(shards[own][which]), pa.array(leaf + 1), pa.array(fps[own][which].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, ["shard", "sub", "fp"])
+
+    def over(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).count().filter(F.col("count") > block)
+
     rows = materialise(nodes.select("fp").mapInArrow(placed, "shard long, fp long"))
-    # a row for each leaf: no more than the sample has points
-    large = {s: -(-c // block) for s, c in rows.groupBy("shard").count().filter(F.col("count") > block).collect()}
-    if large:  # every pair of blocks of a shard meets once
-        blocks = F.create_map(*(F.lit(x) for kv in large.items() for x in kv))
-        rows = rows.withColumn("n", F.coalesce(blocks[F.col("shard")], F.lit(1))).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("n")))
-        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)))
-        rows = rows.select("shard", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "fp")
+    # a row for each leaf at most, of which the sample bounds the number
+    large = [r["shard"] for r in over(rows, "shard").collect()]
+    whole = rows.select("shard", F.lit(0).cast("long").alias("sub"), "fp")
+    if large:
+        names = spark.createDataFrame([(x,) for x in large], "shard long")
+        split = rows.join(F.broadcast(names), "shard", "left_semi").mapInArrow(by_other_half, "shard long, sub long, fp long")
+        rows = materialise(whole.join(F.broadcast(names), "shard", "left_anti").unionByName(split))
+        left = over(rows, "shard", "sub").select(F.col("shard").alias("s"), F.col("sub").alias("t"), F.ceil(F.col("count") / block).alias("n"))
+        joined = rows.join(left, (rows["shard"] == left["s"]) & (rows["sub"] == left["t"]), "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        # every pair of blocks of what is large still meets once
+        joined = joined.withColumn("b", F.pmod(F.xxhash64("fp"), F.col("n"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        rows = joined.select("shard", "sub", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "fp")
     else:
-        rows = rows.select("shard", F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2"), "fp")
+        rows = whole.select("shard", "sub", F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2"), "fp")
 
     def link(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         fps = part["fp"].to_numpy().view(np.uint64)
@@ -183,7 +216,7 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE,
         u, v = (np.concatenate([f[i] for f in found]).view(np.int64) if found else np.empty(0, np.int64) for i in (0, 1))
         return pd.DataFrame({"u": u, "v": v})
 
-    return rows.groupBy("shard", "b1", "b2").applyInPandas(link, "u long, v long")
+    return rows.groupBy("shard", "sub", "b1", "b2").applyInPandas(link, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

@@ -500,6 +500,33 @@ def test_vantage_trees_lose_no_link(spark):
             assert shards[i] & shards[j]
 
 
+def test_fingerprints_that_share_a_half(spark):
+    rng = np.random.default_rng(77)
+    other = np.unique(rng.integers(0, 1 << 32, 10_000).astype(np.uint64))
+    flips = np.unique(np.concatenate([other, other[:3000] ^ np.uint64(0b101), other[:2000] ^ np.uint64(1 << 31)]))
+    points = np.concatenate([flips | np.uint64(0x12345678 << 32), (flips << np.uint64(32)) | np.uint64(0x9ABCDEF0)])
+    nodes = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    number = {int(v): k for k, v in enumerate(points.view(np.int64))}
+    # partners by brute force, a row of distances at a time
+    root = list(range(len(points)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for a in range(len(points)):
+        for b in np.flatnonzero(np.bitwise_count(points[:a] ^ points[a]) <= 3):
+            x, y = sorted((find(a), find(int(b))))
+            root[y] = x
+    brute = [find(k) for k in range(len(points))]
+    for block in (1 << 18, 2000):
+        links = [(number[r["u"]], number[r["v"]]) for r in near_links(nodes, shard=256, block=block).collect()]
+        roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+        assert [roots.get(k, k) for k in range(len(points))] == brute
+
+
 def test_one_of_each(spark):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "other words in here now"), (2, "other words in here now"), (None, "a b c d e f"), (None, "a b c d e f")]
     assert sorted((r["doc_id"] or 0) for r in one_of_each(docs_of(spark, rows)).collect()) == [0, 0, 1, 2]
