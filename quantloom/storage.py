@@ -48,8 +48,11 @@ def expected_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
-def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back; given a column, in buckets, so that grouping by it shuffles nothing."""
+def materialise(df: DataFrame, by: str | None = None, result: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back; given a column, in buckets, so that grouping by it shuffles nothing.
+
+    A result outlives the scratch() it is written in.
+    """
     spark = df.sparkSession
     root = f"{shared_folder(spark)}/quantloom-{spark.sparkContext.applicationId}"
     name = uuid.uuid4().hex
@@ -66,7 +69,7 @@ def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
     files.deleteOnExit(where)
     out._written_to = path
     held = _held.get()
-    if held is not None:
+    if held is not None and not result:
         held.append(out)
     return out
 
@@ -83,7 +86,7 @@ def discard(df: DataFrame) -> None:
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Deletes at its end all that is materialised within; results must be written elsewhere by then."""
+    """Deletes at its end all that is materialised within but results; what reads it must be written by then."""
     held: list[DataFrame] = []
     token = _held.set(held)
     try:

@@ -41,7 +41,8 @@ def test_scratch_deletes_what_was_written_within(spark):
     with scratch():
         inner = materialise(spark.range(3))
         assert os.path.isdir(inner._written_to) and inner.count() == 3
-    assert not os.path.isdir(inner._written_to)
+        result = materialise(inner.selectExpr("id + 1 as id"), result=True)
+    assert not os.path.isdir(inner._written_to) and result.count() == 3
     outer = materialise(spark.range(3))
     assert os.path.isdir(outer._written_to)
     discard(outer)
