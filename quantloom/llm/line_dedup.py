@@ -7,8 +7,10 @@ has more than ``min_words`` words, and likewise backwards from every line.  Spar
 a rolling hash hits a divisor) would be fewer, but a passage lies within one to a few lines, and
 those found only part of the repeated passages; the README has the figures.
 
-A chunk repeats if two documents have it.  Its bytes are then compared with those in the document
-of the smallest id, which keeps it; the others lose all lines that their repeated chunks cover.
+A chunk repeats if two documents have it; the document of the smallest id keeps it.  Chunks of a
+document that overlap, in it as in their keeper, grow into one run, so that a line is written for
+comparison once for each keeper, however many chunks it lies in.  Runs whose bytes equal their
+keeper's are removed; one that differs (unlike chunks of equal hashes) stays.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import byte_texts, discard, materialise
 
 MIN_WORDS = 50
 BASE = np.uint64(0x9E3779B97F4A7C15)
+RUNS = ArrayType(StructType([StructField("first", LongType()), StructField("n_lines", LongType())]))
 
 
 def chunks_of(text: bytes, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,6 +81,21 @@ def chunk_table(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("doc", "twin", "text").mapInArrow(run, f"doc {kind}, twin long, first long, n_lines long, chunk long")
 
 
+@F.arrow_udf(RUNS)
+def widest(runs: pa.Array) -> pa.Array:
+    """The fewest runs that cover the same lines; runs that only touch stay apart."""
+    out = []
+    for found in runs:
+        merged: list[list[int]] = []
+        for first, n_lines in sorted((r["first"], r["n_lines"]) for r in found.as_py()):
+            if merged and first < merged[-1][0] + merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], first + n_lines - merged[-1][0])
+            else:
+                merged.append([first, n_lines])
+        out.append([{"first": first, "n_lines": n_lines} for first, n_lines in merged])
+    return pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("n_lines", pa.int64())])))
+
+
 def remove_repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
@@ -91,25 +110,31 @@ def remove_repeated_lines(
     keyed = docs.withColumns({"__twin": F.xxhash64(text_col)})
     texts = keyed.select(F.col(id_col).alias("doc"), F.col("__twin").alias("twin"), F.col(text_col).alias("text"))
     chunks = materialise(chunk_table(texts, min_words))
-    rank = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"))
-    repeated = chunks.groupBy("chunk").agg(F.min(rank).alias("keeper"), F.max(rank).alias("other")).filter("keeper != other")
-    flagged = materialise(
-        chunks.join(repeated, "chunk").select("doc", "twin", "first", "n_lines", "chunk", (rank == F.col("keeper")).alias("keeps"))
-    )
+    rank = [F.col("doc").isNull().alias("last"), F.col("doc").alias("doc")]
+    repeated = chunks.groupBy("chunk").agg(F.min(F.struct(*rank, "twin", "first")).alias("keeper"), F.min(F.struct(*rank)).alias("least"), F.max(F.struct(*rank)).alias("most"))
+    # a keeper is never null, as nulls come last; as a table, so that a hot chunk's join can be split or broadcast
+    repeated = materialise(repeated.filter("least != most").select("chunk", *(F.col(f"keeper.{c}").alias(f"k_{c}") for c in ("doc", "twin", "first"))))
+    theirs = ["doc", "twin", "k_doc", "k_twin"]
+    shifted = chunks.join(repeated, "chunk").filter(~F.col("doc").eqNullSafe(F.col("k_doc"))).withColumn("shift", F.col("first") - F.col("k_first"))
+    runs = shifted.groupBy(*theirs, "shift").agg(F.collect_set(F.struct("first", "n_lines")).alias("runs"))
+    runs = runs.select(*theirs, "shift", F.explode(widest("runs")).alias("run")).select(*theirs, "run.*", (F.col("run.first") - F.col("shift")).alias("k_first"))
+    runs = materialise(runs)
     discard(chunks)
-    per_doc = flagged.groupBy("doc", "twin").agg(F.collect_set(F.struct("first", "n_lines", "chunk", "keeps")).alias("runs"))
-    theirs = [texts["doc"].eqNullSafe(per_doc["doc"]), texts["twin"] == per_doc["twin"]]
-    run = F.explode("runs").alias("run")
-    lines = F.split("text", "\n")
+    discard(repeated)
+    place = ["k_doc", "k_twin", "k_first", "n_lines"]
+    kept = runs.select(*place).distinct().select(F.col("k_doc").alias("doc"), F.col("k_twin").alias("twin"), F.col("k_first").alias("first"), F.lit(True).alias("keeps"), *place)
+    parts = runs.select("doc", "twin", "first", F.lit(False).alias("keeps"), *place).unionByName(kept)
+    parts = parts.groupBy("doc", "twin").agg(F.collect_set(F.struct("first", "keeps", *place)).alias("runs"))
+    cut = F.slice("lines", F.col("run.first").cast("int") + 1, F.col("run.n_lines").cast("int"))
     spelled = (
-        texts.join(per_doc, theirs)
-        .select(texts["doc"], texts["twin"], lines.alias("lines"), run)
-        .select("doc", "twin", "run.*", F.array_join(F.slice("lines", F.col("run.first").cast("int") + 1, F.col("run.n_lines").cast("int")), "\n").alias("bytes"))
+        texts.join(parts, [texts["doc"].eqNullSafe(parts["doc"]), texts["twin"] == parts["twin"]])
+        .select(texts["doc"], texts["twin"], F.split("text", "\n").alias("lines"), F.explode("runs").alias("run"))
+        .select("doc", "twin", "run.*", F.array_join(cut, "\n").alias("bytes"))
     )
     spelled = materialise(spelled)
-    discard(flagged)
-    kept = spelled.filter("keeps").groupBy("chunk").agg(F.min("bytes").alias("kept_bytes"))
-    again = spelled.filter("not keeps").join(kept, "chunk").filter(F.col("bytes") == F.col("kept_bytes"))
+    discard(runs)
+    kept = materialise(spelled.filter("keeps").groupBy(*place).agg(F.min("bytes").alias("kept_bytes")))
+    again = spelled.filter("not keeps").join(kept, place).filter(F.col("bytes") == F.col("kept_bytes"))
     removed = again.groupBy(F.col("doc").alias("__doc"), F.col("twin").alias("__twin_of")).agg(
         F.collect_set(F.struct("first", "n_lines")).alias("__runs")
     )
