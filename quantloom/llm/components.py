@@ -9,13 +9,20 @@ from .common import discard, materialise
 
 
 def star_round(links: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on links (u, v) with u > v."""
+    """One large-star and one small-star step on links (u, v) with u > v, as a table.
+
+    The least neighbours are tables too, not aggregates within the join: a join on the root of a large
+    component, one hot key, is only split (or the small side broadcast) where both sides are shuffled as they are.
+    """
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    nearest = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
+    large = materialise(both.join(nearest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
     small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    done = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    for used in (nearest, large, least):
+        discard(used)
+    return done
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,7 +40,7 @@ def components(links: DataFrame) -> DataFrame:
         if seen[0] == 0 or tuple(seen) == state:
             break
         state = tuple(seen)
-        later = materialise(star_round(current))
+        later = star_round(current)
         discard(current)
         current = later
     roots = current.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")

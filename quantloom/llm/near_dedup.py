@@ -237,10 +237,11 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> DataF
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     links = components(near_links(nodes, max_bits))
     reached = nodes.join(links, nodes["fp"] == links["node"]).select("fp", "root", "first")
-    smallest = reached.groupBy("root").agg(F.min("first").alias("smallest"))
+    # what joins a hot key (the root of a large component, the fingerprint of many copies) is a table, so that the join can be split
+    smallest = materialise(reached.groupBy("root").agg(F.min("first").alias("smallest")))
     linked = materialise(reached.join(smallest, "root").select("fp", "root", "smallest"))
     named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("smallest", "first").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    return fps.join(materialise(named), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

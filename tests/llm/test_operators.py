@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import random
 import re
 import time
 import zlib
@@ -669,6 +670,35 @@ def test_repeated_passages_go(spark):
     assert found[1]["text"] == rows[0][1] and found[2]["text"] == "" and found[3]["text"] == "another start\n\nanother end" and found[4]["n_removed_lines"] == 0 and found[5]["text"] == ""
 
 
+def test_repeated_passages_by_brute_force(spark):
+    """One-word lines, so that a line lies in several chunks; a line goes if a run of more than five words around it is in an earlier document."""
+    rng = random.Random(10)
+    passages = [[f"w{rng.randrange(12)}" for _ in range(rng.randrange(4, 20))] for _ in range(8)]
+    rows = []
+    for k in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 5)):
+            lines += rng.choice(passages) if rng.random() < 0.6 else ["", *(f"own{k}_{i}" for i in range(rng.randrange(4)))]
+        rows.append((k, "\n".join(lines)))
+
+    def runs(text):
+        lines = text.split("\n")
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if lines[i] and lines[j] and sum(map(bool, lines[i : j + 1])) > 5:
+                    yield i, j, "\n".join(lines[i : j + 1])
+
+    seen, expected = set(), {}
+    for k, text in rows:
+        found = list(runs(text))
+        gone = {n for i, j, run in found if run in seen for n in range(i, j + 1)}
+        expected[k] = ("\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone), len(gone))
+        seen |= {run for _, _, run in found}
+    out = remove_repeated_lines(docs_of(spark, rows), min_words=5).collect()
+    assert {r["doc_id"]: (r["text"], r["n_removed_lines"]) for r in out} == expected
+    assert 0 < sum(n for _, n in expected.values())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
