@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.schemas import MATRIX, conform, same
+from quantloom.storage import materialise
 
 ELEMENT = "MatrixID int, RowNumber int, ColumnNumber int, Value double"
 TAGGED = "MatrixID int, Result string, RowNumber int, ColumnNumber int, Value double"
 TINY = 1e-10
 CHECK = 1e-6
 SYMMETRY = 1e-4
+#: Rows of a matrix in a block: a task compares those of two blocks.
+ROWS = 4096
 
 Element = tuple[int, int, float]
 
@@ -166,17 +169,30 @@ def minkowski(p: float | None, first: DataFrame, second: DataFrame) -> DataFrame
     """
     first, second = conform(first, MATRIX), conform(second, MATRIX)
     a, b = shapes(first), shapes(second).toDF("id", "rows", "columns", "fine")
-    ids = a.join(b, same(a["MatrixID"], b["id"]), "full")
+    # a row for each matrix, read three times
+    ids = materialise(a.join(b, same(a["MatrixID"], b["id"]), "full"))
     unlike = ids.filter("rows is null or n_rows is null or n_columns != columns or not valid or not fine")
     if p is not None and p <= 1e-9:
         first, p = first.limit(0), 1.0
-    left = without_unsound(first, unlike, "batch").withColumnRenamed("RowNumber", "RowNumber_1")
-    right = second.toDF("id", "RowNumber_2", "column", "v2")
-    gap = F.abs(F.col("Value") - F.col("v2"))
-    pairs = left.join(right, same(left["MatrixID"], right["id"]) & (left["ColumnNumber"] == right["column"]))
-    distance = F.max(gap) if p is None else F.pow(F.sum(F.pow(gap, F.lit(float(p)))), F.lit(1.0 / p))
-    found = pairs.groupBy("MatrixID", "RowNumber_1", "RowNumber_2").agg(distance.alias("Distance"))
-    return found.select(F.lit(p).cast("double").alias("OrderValue"), "MatrixID", "RowNumber_1", "RowNumber_2", "Distance")
+    sizes = ids.select(F.coalesce("MatrixID", "id").alias("of"), F.ceil(F.col("n_rows") / ROWS).alias("blocks_1"), F.ceil(F.col("rows") / ROWS).alias("blocks_2"))
+
+    def row_arrays(m: DataFrame, k: int) -> DataFrame:
+        """id_k, RowNumber_k, v_k (its values by column), its block, and each block of the other side that it meets."""
+        rows = m.groupBy("MatrixID", "RowNumber").agg(F.array_sort(F.collect_list(F.struct("ColumnNumber", "Value"))).alias("v"))
+        met = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"blocks_{3 - k}") - 1)).alias(f"block_{3 - k}")
+        own = F.floor((F.col("RowNumber") - 1) / ROWS).alias(f"block_{k}")
+        values = F.transform("v", lambda e: e["Value"]).alias(f"v{k}")
+        return rows.join(sizes, same(F.col("MatrixID"), F.col("of"))).select(F.col("MatrixID").alias(f"id_{k}"), F.col("RowNumber").alias(f"RowNumber_{k}"), values, own, met)
+
+    left = row_arrays(without_unsound(first, unlike, "batch"), 1).withColumnsRenamed({"block_1": "b1", "block_2": "b2"})
+    right = row_arrays(second, 2)
+    pairs = left.join(right, same(left["id_1"], right["id_2"]) & (F.col("b1") == F.col("block_1")) & (F.col("b2") == F.col("block_2")))
+    gaps = F.zip_with("v1", "v2", lambda x, y: F.abs(x - y))
+    if p is None:
+        distance = F.array_max(gaps)
+    else:
+        distance = F.pow(F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + F.pow(gap, F.lit(float(p)))), F.lit(1.0 / p))
+    return pairs.select(F.lit(p).cast("double").alias("OrderValue"), F.col("id_1").alias("MatrixID"), "RowNumber_1", "RowNumber_2", distance.alias("Distance"))
 
 
 def householder(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:

@@ -31,23 +31,27 @@ def simple_linear_regression(pairs: DataFrame) -> DataFrame:
     the list, which come from a first aggregate, so large values lose no digits.
     """
     p = conform(pairs, PAIRS)
-    counts = p.groupBy("ListID").agg(
+    # Spark's moments are centred and merged pair by pair
+    lines = p.groupBy(F.col("ListID").alias("id")).agg(
         F.count(F.lit(1)).cast("int").alias("NumberOfInputPairs"),
         F.count_distinct("X_Value").cast("int").alias("Distinct_X_Values"),
         F.count_distinct("Y_Value").cast("int").alias("Distinct_Y_Values"),
-    )
-    # Spark's moments are centred and merged pair by pair
-    lines = p.groupBy(F.col("ListID").alias("id")).agg(
-        F.avg("X_Value").alias("mx"), F.avg("Y_Value").alias("my"), F.covar_pop("X_Value", "Y_Value").alias("sxy"), F.var_pop("X_Value").alias("sxx"), F.var_pop("Y_Value").alias("syy")
+        F.avg("X_Value").alias("mx"),
+        F.avg("Y_Value").alias("my"),
+        F.covar_pop("X_Value", "Y_Value").alias("sxy"),
+        F.var_pop("X_Value").alias("sxx"),
+        F.var_pop("Y_Value").alias("syy"),
     )
     slope = F.try_divide("sxy", "sxx")
     lines = lines.withColumn("Slope", slope).withColumn("Y_Intercept", F.col("my") - F.col("Slope") * F.col("mx"))
     lines = lines.withColumn("R_Squared", F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy")))
-    fitted = p.join(lines.select("id", "Slope", "Y_Intercept"), same(p["ListID"], lines["id"]))
+    # a table of known size: few lines are broadcast, so that the pairs stay where they are; many are joined with splits
+    lines = materialise(lines.drop("mx", "my", "sxy", "sxx", "syy"))
+    fitted = p.join(lines, same(p["ListID"], lines["id"]))
     error = F.col("Y_Value") - (F.col("Slope") * F.col("X_Value") + F.col("Y_Intercept"))
-    errors = fitted.groupBy(F.col("id").alias("of")).agg(F.avg(error * error).alias("MeanSquaredError"), F.avg(F.abs(error)).alias("MeanAbsoluteError"))
-    out = counts.join(lines, same(counts["ListID"], lines["id"])).join(errors, same(counts["ListID"], errors["of"]))
-    return out.select(*counts.columns, "Slope", "Y_Intercept", "R_Squared", "MeanSquaredError", "MeanAbsoluteError")
+    of_list = [c for c in lines.columns if c != "id"]
+    errors = [F.avg(error * error).alias("MeanSquaredError"), F.avg(F.abs(error)).alias("MeanAbsoluteError")]
+    return fitted.groupBy(F.col("id").alias("ListID")).agg(*(F.any_value(c).alias(c) for c in of_list), *errors)
 
 
 def multiple_linear_regression(x: DataFrame, y: DataFrame, on_invalid: str = "batch") -> DataFrame:
