@@ -18,6 +18,9 @@ from .pii import find_pii
 from .quality_model import score_quality
 from .quality_rules import judge
 from .secrets_scan import find_secrets
+from .spelling import spelling_variants
+from .token_counts import count_tokens
+from .whitening import whiten
 
 
 def tokenizer_path() -> str:
@@ -75,6 +78,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", "n_lines", "n_removed_lines")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 OP2_SQL = r"""
 WITH item AS (SELECT DISTINCT item_id, text FROM benchmark),
 item_words AS (
@@ -204,6 +219,39 @@ FROM documents d LEFT JOIN counted c ON d.doc_id = c.doc_id LEFT JOIN gone g ON
 GROUP BY d.doc_id, d.text
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i::UBIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END FROM bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+run AS (
+  SELECT doc_id, word, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS word FROM documents)
+  GROUP BY doc_id, word),
+hashed AS (
+  SELECT word, n, length(word) AS size,
+    xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(doc_id || ':' || word, ''),
+        lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::UBIGINT] ELSE [(192 + unicode(x) // 64)::UBIGINT, (128 + unicode(x) % 64)::UBIGINT] END))),
+      lambda a, b: xor(a // 256, t[(xor(a % 256, b) + 1)::BIGINT]))) AS h
+  FROM run, crc_table),
+spelt AS (
+  SELECT CASE WHEN h % 199 = 0 THEN word[1:(h % size)::BIGINT] || word[(h % size)::BIGINT + 2:] ELSE word END AS word, n FROM hashed),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN w b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS best_n, min(other) FILTER (WHERE m = most) AS best FROM (SELECT *, max(m) OVER (PARTITION BY word) AS most FROM near) GROUP BY word),
+form AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+chain(word, root, next) AS (
+  SELECT word, word, form FROM form
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN form f ON f.word = c.next)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM form f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -217,9 +265,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": op8_lm_score,
         "op9_html_text": op9_html_text,
         "op10_line_dedup": op10_line_dedup,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_token_counts": op12_token_counts,
+        "op13_whitening": op13_whitening,
         "instruction_packing": instruction_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op3_quality_rules": OP3_SQL, "op8_lm_score": OP8_SQL, "op9_html_text": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_decontamination": OP2_SQL, "op3_quality_rules": OP3_SQL, "op8_lm_score": OP8_SQL, "op9_html_text": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_spelling_variants": OP11_SQL}
