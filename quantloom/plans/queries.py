@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom import sql as surface
 from quantloom.functions import options, scalar
 from quantloom.operators import interpolation, matrix, optimization, polynomial, regression, yields
 from quantloom.plans import oracles
@@ -810,6 +811,56 @@ def view_TupleStructureType(spark: SparkSession, sf_dir: str) -> DataFrame:  # n
     return catalogue.view(catalogue_tables(spark, sf_dir), "TupleStructureType")
 
 
+# From SQL: table functions over rows, over streams of rows, and routines over views
+
+
+@query(SQL["stock_options"])
+def sql_stock_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order priced by a table function, whose plan is one projection."""
+    surface.register(spark)
+    priced_now = spark.sql(
+        """SELECT o_orderkey, p.* FROM {orders}, LATERAL stock_option(
+          CASE WHEN o_orderkey % 2 = 0 THEN 'Call' ELSE 'Put' END, (30 + o_orderkey % 700) / 365D, o_totalprice / 1000, o_totalprice / 1000 * (0.8D + (o_custkey % 5) / 10D),
+          0.1D + (o_custkey % 7) / 20D, 0.01D + (o_custkey % 3) / 100D, 0.012D) AS p""",
+        orders=table(spark, sf_dir, "orders"),
+    )
+    return rounded(priced_now, 4)
+
+
+@query(SQL["piecewise_linear_prices"])
+def sql_piecewise_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of each flag's prices over quantities, by a function that reads each list as a stream."""
+    surface.register(spark)
+    pairs = f"SELECT {FLAG_SQL} AS ListID, CAST(floor(l_quantity / 3) * 3 AS DOUBLE) AS X_Value, round(avg(l_extendedprice / 1000), 4) AS Y_Value FROM {{items}} GROUP BY 1, 2"
+    return rounded(spark.sql(f"SELECT * FROM piecewise_linear(TABLE({pairs}) PARTITION BY ListID ORDER BY X_Value)", items=table(spark, sf_dir, "lineitem")))
+
+
+@query(
+    f"""WITH s AS (SELECT {FLAG_SQL} AS id, count(*) AS n, avg(y) AS y, avg(x) AS x, avg(z) AS z, covar_pop(y, x) AS yx, covar_pop(y, z) AS yz, covar_pop(x, z) AS xz, var_pop(x) AS xx, var_pop(z) AS zz
+  FROM (SELECT *, l_extendedprice / 1000 AS y, l_quantity AS x, l_tax * 100 AS z FROM lineitem) GROUP BY 1),
+t AS (SELECT *, (yx * zz - yz * xz) / (xx * zz - xz * xz) AS a, (yz * xx - yx * xz) / (xx * zz - xz * xz) AS b FROM s)
+SELECT id AS ListID, n AS NumberOfRows, round(y - a * x - b * z, 5) + 0.0 AS Intercept, round(a, 6) + 0.0 AS Slope_1, round(b, 6) + 0.0 AS Slope_2 FROM t"""
+)
+def sql_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price by quantity and tax over all rows of lineitem, by a function that holds only sums."""
+    surface.register(spark)
+    rows = f"SELECT {FLAG_SQL} AS ListID, l_extendedprice / 1000 AS y, CAST(l_quantity AS DOUBLE) AS x, l_tax * 100 AS z FROM {{items}}"
+    return spark.sql(
+        f"""SELECT ListID, NumberOfRows, round(Intercept, 5) + 0.0D AS Intercept, round(Slopes[0], 6) + 0.0D AS Slope_1, round(Slopes[1], 6) + 0.0D AS Slope_2
+        FROM least_squares(TABLE({rows}) PARTITION BY ListID)""",
+        items=table(spark, sf_dir, "lineitem"),
+    )
+
+
+@query(SQL["matrix_covariance"])
+def sql_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A routine called by name on a view, its result read from another view."""
+    source, result = f"observations_{uuid.uuid4().hex}", f"covariance_{uuid.uuid4().hex}"
+    observations(spark, sf_dir).createOrReplaceTempView(source)
+    surface.call(spark, "covariance", result, m=source)
+    return rounded(spark.sql(f"SELECT MatrixID, RowNumber, ColumnNumber, Value FROM {result}"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
