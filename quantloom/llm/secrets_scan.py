@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
+from os.path import commonprefix
 from string import ascii_lowercase, ascii_uppercase
 
 import pandas as pd
@@ -49,9 +50,10 @@ ALLOWED_SHAPES = tuple(
         r"[A-Za-z]+(?:[-_/=+][A-Za-z]*)*",  # words and paths of words
         r"[0-9]+(?:[-_/=+][0-9]*)*",  # numbers, dates, phone numbers
         r"(.{1,4}?)\1+.{0,3}",  # short repeats
-        r"(?:(?:%s)[+/_=-]*)+" % "|".join(s[:k] for s in (ascii_lowercase, ascii_uppercase, "01234567890", "1234567890") for k in range(len(s), 5, -1)),  # alphabets
     )
 )
+ALPHABETS = (ascii_lowercase, ascii_uppercase, "01234567890", "1234567890")
+LEAST_OF_ALPHABET, BETWEEN_ALPHABETS = 6, "+/_=-"
 PATH = re.compile(r"[a-z0-9_-]+(?:/[a-z0-9_-]*)+")
 #: A piece between / or = that is nothing but words.
 WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_](?:[A-Z]?[a-z]+|[A-Z]+))*[-_]?")
@@ -92,8 +94,28 @@ def harmless(run: str) -> bool:
     return any(p in low for p in ALLOWED_PARTS)
 
 
+def alphabetical(run: str) -> bool:
+    """Whether a run is made of beginnings of alphabets, six letters or more each, with separators behind them.
+
+    Of every place it is known whether what is before it is so made; a place looks ahead over one alphabet at most.
+    """
+    made = bytearray(len(run) + 1)
+    made[0] = 1
+    for at, ch in enumerate(run):
+        if not made[at]:
+            continue
+        if at and ch in BETWEEN_ALPHABETS:
+            made[at + 1] = 1
+        for letters in ALPHABETS:
+            if ch == letters[0]:
+                n = len(commonprefix((letters, run[at : at + len(letters)])))
+                for k in range(LEAST_OF_ALPHABET, n + 1):
+                    made[at + k] = 1
+    return bool(run) and bool(made[-1])
+
+
 def allowed(run: str) -> bool:
-    return harmless(run) or any(p.fullmatch(run) for p in ALLOWED_SHAPES)
+    return harmless(run) or any(p.fullmatch(run) for p in ALLOWED_SHAPES) or alphabetical(run)
 
 
 def free_parts(start: int, end: int, taken: list[tuple[int, int]], starts: list[int], reach: list[int]) -> Iterator[tuple[int, int]]:
@@ -181,7 +203,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_entropy of every document.
 
     Spans are in code points.  A null text is an empty one, without spans; null ids and repeated
-    rows are scanned like any other; other columns are ignored.
+    rows are scanned like any other; other columns are ignored; an empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -204,7 +226,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """The documents, with all their columns, with every span replaced; a null text stays null."""
+    """The documents, with all their columns, with every span replaced; a null text stays null, an empty table an empty one."""
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:

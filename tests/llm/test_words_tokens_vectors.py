@@ -250,3 +250,36 @@ def test_whitening_of_deviations_beyond_a_long(spark):
     rows = [(k, [float(k % 2) * 2.0**39, float(k)]) for k in range(50)]
     got = {r["vec_id"]: r["deviation"] for r in whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert set(got.values()) == {None} and len(got) == 50
+
+
+# 6
+def test_allow_list_takes_linear_time_on_any_shape():
+    from quantloom.llm.secrets_scan import spans_of
+
+    key = "xQ7vK2mP9wR4tY8zB3nL"
+    for unit in ("01234567890123456789_", "deadbeef-dead-beef-dead-", "Word_word-", "12-34/", "aB1", "abcdefgh/", "example/", "A1b2C3d4/", "00000000-0000-0000-0000-000000000000"):
+        took = []
+        for n in (100_000, 400_000):
+            began = time.time()
+            spans_of(unit * (n // len(unit)) + key)
+            took.append(time.time() - began)
+        assert took[1] < 12 * took[0] + 0.5, unit
+
+
+def test_alphabets_are_those_of_a_search_by_splits():
+    from string import ascii_lowercase, ascii_uppercase
+
+    from quantloom.llm.secrets_scan import alphabetical
+
+    def made(run: str) -> bool:
+        for s in (ascii_lowercase, ascii_uppercase, "01234567890", "1234567890"):
+            for k in range(6, len(s) + 1):
+                if run.startswith(s[:k]):
+                    rest = run[k:].lstrip("+/_=-")
+                    if not rest or made(rest):
+                        return True
+        return False
+
+    rng, parts = random.Random(0), ["012345", "0123456789", "01234567890", "123456", "1234567890", "abcdefg", ascii_uppercase, "_", "-", "x", "0", "12345"]
+    runs = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 5))) for _ in range(3000)]
+    assert [alphabetical(r) for r in runs] == [made(r) for r in runs] and 100 < sum(map(made, runs)) < 2900
