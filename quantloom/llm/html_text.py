@@ -2,8 +2,11 @@
 
 Every paragraph has points for its length and its commas and passes them to its ancestors, less
 with each level.  A container's points are discounted by its link density; the best container is
-kept, with the siblings that read like its continuation.  What class, id and role say discounts a
-container's points, and takes it out only if its own text agrees.  One pass over the scan, no shuffle.
+kept, with the siblings that read like its continuation.  Parts named as comments, adverts, notices and the
+like go whatever they say; vaguer words in class, id and role discount a container's points, and take it out
+only if its own text agrees.  One pass over the scan, no shuffle.
+
+A header goes wherever it is, also that of an article with its title.  A form goes unless it holds the article.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math textarea title xmp noembed noframes object canvas".split())
-DROPPED = frozenset("nav header footer aside form button select dialog menu head".split())
+DROPPED = frozenset("nav header footer aside button select option optgroup datalist label legend dialog menu head".split())
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html "
     "legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -46,11 +49,14 @@ UNLIKELY = re.compile(
 LAYOUT = re.compile(r"(?:no|non|has|with|without|hide|is)[_-]")
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:\s|$)")
 #: Class, id or role, as a whole, of what readers wrote, and of other parts that are no article.
-COMMENTS = re.compile(r"(?:reader|user|post|article)?[_-]?(?:comments?|commentlist|repl(?:y|ies)|responses?|respond|disqus)(?:[_-](?:list|area|section|thread|threads|block|box|wrapper|container|body|form))?")
+COMMENTS = re.compile(r"(?:reader|user|post|article)?[_-]?(?:comments?|commentlist|repl(?:y|ies)|responses?|respond|disqus)(?:[_-](?:list|area|section|thread|threads|block|box|wrapper|container|body|content|text|form|item))*")
 APART = re.compile(
-    r"(?:site|page|left|right)?[_-]?(?:sidebar|footer|navbar|nav|navigation|menu|breadcrumbs?|pagination|pager|ads?|adverts?|advertisements?|sponsored|"
-    r"cookies?|cookie-(?:notice|banner|consent|bar)|gdpr|consent|newsletter|login|signup|popup|modal|contentinfo|complementary)"
+    r"(?:site|page|left|right|main|google|text)?[_-]?(?:sidebar|footer|navbar|nav|navigation|menu|breadcrumbs?|pagination|pager|ads?|adsense|advert|adverts|advertisements?|advertising|sponsor|sponsored|sponsors|"
+    r"promo|promos|promotions?|promoted|notices?|cookies?|gdpr|consent|newsletter|login|signup|popup|modal|contentinfo|complementary)"
+    r"(?:[_-](?:slot|box|unit|container|wrapper|block|area|banner|bar|panel|card|inner|body|content|text|link|links|list|item|notice|message|consent|form|post|label|top|bottom|\d+))*"
 )
+#: The same as ids of sections, where other words are often made from titles.
+APART_SECTIONS = re.compile(r"(?:sidebar|navbar|breadcrumbs?|pagination|advert|adverts|advertisements?|newsletter|login|signup|popup|modal)(?:[_-](?:box|signup|form|banner|section))?")
 DISCOUNT = 25.0
 #: A marked container with fewer points for its length and commas than this is no article text.
 PROSE = 4.0
@@ -181,24 +187,26 @@ def hidden_or_unlikely(node: Node) -> tuple[bool, bool, bool, str]:
     by_kind = bool(UNLIKELY.search(" ".join(kinds))) and not likely
     m = UNLIKELY.search(said["id"]) if not likely else None
     whole_id = m is not None and m[0] == said["id"] and node.tag != "section" and node.tag not in PARAGRAPHS  # ids there are often made from titles
-    names = [*kinds, said["id"]] if node.tag != "section" else kinds
-    part = "comments" if any(map(COMMENTS.fullmatch, names)) else "apart" if not likely and any(map(APART.fullmatch, names)) else ""
+    by_id = node.tag not in PARAGRAPHS and (APART_SECTIONS if node.tag == "section" else APART).fullmatch(said["id"])
+    apart = by_id or any(map(APART.fullmatch, kinds))
+    part = "comments" if any(map(COMMENTS.fullmatch, [*kinds, said["id"]])) else "apart" if apart and not any(LIKELY.search(c) for c in kinds if not APART.fullmatch(c)) else ""
     return hidden, by_kind or m is not None, by_kind or whole_id, part
 
 
 def prune(root: Node) -> None:
-    """Takes out what is never article text: by tag, by being hidden, and containers whose class, id or role and own text say so.
+    """Takes out what is never article text: by tag, by being hidden, and what class, id and role name as another part.
 
-    Containers named as comments go whatever they hold, short of an article; those named as another part
-    go if there is prose beside them.  Words of class, id and role within longer names only mark a
-    container.  A marked one goes if it is mostly links, or has little prose and less than half the
-    text of its article.
+    Parts named as comments, or as adverts, notices, menus and the like, go whatever they say, unless the page has no
+    article and no prose beside them.  So does a form unless it holds the article, or more prose than
+    the rest of the page.  Words of class, id and role within longer names only mark a container.  A
+    marked one goes if it is mostly links, or has little prose and less than half the text of its article.
     """
     nodes = in_order(root)
     measure(nodes)
     removed: set[Node] = set()
     suspects: dict[Node, bool] = {}
     named: set[Node] = set()
+    comments: set[Node] = set()
     around: dict[Node, Node] = {root: root}  # the nearest article, or the page
     for node in nodes:
         if node.parent is None:
@@ -207,25 +215,30 @@ def prune(root: Node) -> None:
         hidden, unlikely, sure, part = hidden_or_unlikely(node)
         if node.tag in DROPPED or hidden:
             removed.add(node)
-        elif node.tag in BLOCKS and node.tag not in HEADINGS and node.tag not in SEMANTIC:
-            if part == "comments" and not node.holds_semantic:
-                removed.add(node)
-            elif part == "apart" and not node.holds_semantic and node.tag not in PARAGRAPHS:
+        elif part == "comments" and node.tag == "article":
+            comments.add(node)
+            named.add(node)
+        elif node.tag == "form":
+            named.add(node)
+        elif node.tag not in HEADINGS and node.tag not in SEMANTIC and (node.tag in BLOCKS or node.tag in ("span", "ins", "a")):
+            if part and (node.tag in BLOCKS or part == "apart"):
                 named.add(node)
-            if unlikely and (sure or node.tag not in PARAGRAPHS):
+                if part == "comments":
+                    comments.add(node)
+            if unlikely and node.tag in BLOCKS and (sure or node.tag not in PARAGRAPHS):
                 node.marked = True
                 suspects[node] = sure
     if suspects or named:
-        length, linked, prose = Counter(), Counter(), Counter()  # without what is removed
+        length, linked, prose, articles = Counter(), Counter(), Counter(), Counter()  # without what is removed
         for node in reversed(nodes):
             length[node] += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+            articles[node] += node.tag in SEMANTIC and node not in comments
             if node.tag == "a":
                 linked[node] = length[node]
-            if node.tag == "a":
                 prose[node] = 0.0
             else:
                 prose[node] += sum(paragraph_points(c.strip()) - 1 for c in node.children if isinstance(c, str))
-            if node in suspects and not node.holds_semantic and length[node]:
+            if node in suspects and node not in named and not node.holds_semantic and length[node]:
                 little = suspects[node] and prose[node] < PROSE and node.length < 0.5 * around[node].length
                 if little or linked[node] > 0.5 * length[node]:
                     removed.add(node)
@@ -233,14 +246,18 @@ def prune(root: Node) -> None:
                 length[node.parent] += length[node]
                 linked[node.parent] += linked[node]
                 prose[node.parent] += prose[node]
-        # a part named as such goes, unless all prose of the page is in it
+                articles[node.parent] += articles[node]
         left, under = prose[root], set()
         for node in nodes:
             if node.parent in removed or node.parent in under:
                 under.add(node)
-            elif node in named and node not in removed and (prose[node] == 0 or left - prose[node] >= SOME_PROSE):
-                left -= prose[node]
-                removed.add(node)
+            elif node in named and node not in removed:
+                elsewhere = articles[root] > articles[node]
+                whole = articles[node] > 0 or node.tag == "form"  # what may hold the article goes if there is more prose beside it
+                beside = left - prose[node] >= max(prose[node] if whole and node not in comments else 0.0, SOME_PROSE)
+                if elsewhere or beside or (prose[node] == 0 and not articles[node]):
+                    left -= prose[node]
+                    removed.add(node)
     for parent in {node.parent for node in removed}:
         parent.children = [c for c in parent.children if c not in removed]
 
@@ -369,7 +386,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """page_id, url, text and n_chars of every page.
 
     A null or empty page, and one without article text, has an empty text.  Null ids and urls stay
-    null; repeated rows are pages of their own; other columns are ignored.
+    null; repeated rows are pages of their own; other columns are ignored; an empty table gives an empty table.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
