@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quantloom import sql as surface
 from quantloom.functions import options, scalar
-from quantloom.operators import interpolation, matrix, optimization, polynomial, regression, yields
+from quantloom.operators import affine_scaling, interpolation, matrix, optimization, polynomial, regression, yields
 from quantloom.plans import oracles
 from quantloom.sources import calendar, catalogue, lookups
 from quantloom.storage import shared_folder
@@ -811,6 +811,26 @@ def view_TupleStructureType(spark: SparkSession, sf_dir: str) -> DataFrame:  # n
     return catalogue.view(catalogue_tables(spark, sf_dir), "TupleStructureType")
 
 
+ENVELOPE = """WITH p AS (SELECT l_quantity AS x, max(l_extendedprice / 1000) AS y FROM lineitem GROUP BY 1), m AS (SELECT avg(l_quantity) AS m FROM lineitem),
+line AS (SELECT (b.y - a.y) / (b.x - a.x) AS s, a.y - a.x * (b.y - a.y) / (b.x - a.x) AS t FROM p a JOIN p b ON a.x < b.x),
+best AS (SELECT s, t, s * m + t AS v FROM line, m WHERE NOT EXISTS (SELECT 1 FROM p WHERE s * p.x + t < p.y - 1e-9) ORDER BY v LIMIT 1)
+SELECT 1 AS ProblemID, k AS VariableID, round(CASE k WHEN 1 THEN s WHEN 2 THEN t ELSE -v END, 3) + 0.0 AS Value, 'Optimal' AS Status FROM best, (VALUES (1), (2), (NULL)) x(k)"""
+
+
+@query(ENVELOPE)
+def linear_optimization_power_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line above all prices by quantity that is lowest at the mean quantity: one problem with a constraint for each row of lineitem."""
+    items = table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("i"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    one = F.lit(1).alias("ProblemID")
+    means = items.agg(F.avg("x").alias("x"))
+    named = lambda first: F.explode(F.array(F.struct(F.lit(1).alias("VariableID"), first.alias("Value")), F.struct(F.lit(2).alias("VariableID"), F.lit(-1.0).alias("Value")))).alias("e")
+    objective = means.select(one, named(-F.col("x"))).select("ProblemID", "e.*")
+    coefficients = items.select(one, F.col("i").alias("ConstraintID"), named(-F.col("x"))).select("ProblemID", "ConstraintID", "e.*")
+    bounds = items.select(one, F.col("i").alias("ConstraintID"), (-F.col("y")).alias("Value"))
+    found = affine_scaling.power_series_optimization(objective, coefficients, bounds, feasibility_tolerance=1e-10, gathered=4096)
+    return rounded(found, 3)
+
+
 # From SQL: table functions over rows, over streams of rows, and routines over views
 
 
