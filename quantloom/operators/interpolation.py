@@ -1,8 +1,8 @@
 """Interpolation of lists of points, and local regression.
 
 Pairs with one x are averaged first, so what follows works on distinct knots.  Segments come from a
-window over the knots of a list; points find theirs in one sorted pass over knots and points
-together (an as-of join), never by comparing all pairs.  Spline systems are solved in chunks of
+scan over the knots of a list; points find theirs in one scan over knots and points together (an
+as-of join), never by comparing all pairs.  Scans run in ranges of lists, so one list may hold all rows.  Spline systems are solved in chunks of
 bounded size: a knot's influence falls by half or more with each knot between, so a margin of 64
 knots leaves nothing of a double's 53 bits.
 """
@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.scalar import kernel
+from quantloom.operators.scans import last_at_or_before, numbered, with_next
 from quantloom.schemas import PAIRS, POINTS, conform, same
 from quantloom.sources.lookups import EXTRAPOLATION_METHODS, INTERPOLATION_METHODS, KERNELS
+from quantloom.storage import materialise
 
 CHUNK = 4096
 MARGIN = 64
@@ -33,8 +35,7 @@ def knots(pairs: DataFrame) -> DataFrame:
 
 def piecewise_linear(pairs: DataFrame) -> DataFrame:
     """ListID, Min_X_Value, Max_X_Value, Slope, Y_Intercept between neighbouring knots; lists of one knot have none."""
-    w = Window.partitionBy("ListID").orderBy("X_Value")
-    k = knots(pairs).withColumn("x2", F.lead("X_Value").over(w)).withColumn("y2", F.lead("Y_Value").over(w)).filter("x2 is not null")
+    k = with_next(knots(pairs), "X_Value", "Y_Value")
     slope = (F.col("y2") - F.col("Y_Value")) / (F.col("x2") - F.col("X_Value"))
     k = k.withColumn("Slope", slope)
     return k.select("ListID", F.col("X_Value").alias("Min_X_Value"), F.col("x2").alias("Max_X_Value"), "Slope", (F.col("Y_Value") - F.col("Slope") * F.col("X_Value")).alias("Y_Intercept"))
@@ -73,9 +74,7 @@ def cubic_spline(pairs: DataFrame, spline_type: str | None = NATURAL, chunk: int
     """
     kind = next((k for k in SPLINES if k.lower() == (spline_type or NATURAL).lower()), None)
     least = SPLINES.get(kind, 0)
-    w = Window.partitionBy("ListID")
-    k = knots(pairs if kind else pairs.limit(0))
-    k = k.withColumn("r", F.row_number().over(w.orderBy("X_Value")) - 1).withColumn("n", F.count(F.lit(1)).over(w)).filter(F.col("n") >= least)
+    k = numbered(knots(pairs if kind else pairs.limit(0)), "X_Value").filter(F.col("n") >= least)
     own, at = F.floor(F.col("r") / chunk), F.col("r") % chunk
     shared = F.array(own, F.when(at <= margin, own - 1), F.when(at >= chunk - margin, own + 1))
     parts = k.withColumn("chunk", F.explode(F.filter(shared, lambda c: c.isNotNull() & (c >= 0))))
@@ -98,41 +97,29 @@ def cubic_spline(pairs: DataFrame, spline_type: str | None = NATURAL, chunk: int
     return parts.groupBy("ListID", "chunk").applyInPandas(solve, CUBIC)
 
 
-def with_segments(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """Points with the last segment that begins at or before them (NULLs before the first)."""
-    names = [c for c in segments.columns if c != "ListID"]
-    s = segments.select("ListID", F.col("Min_X_Value").alias("__x"), F.struct(*names).alias("__s"), F.lit(0).alias("__point"))
-    p = points.select("ListID", F.col("X_Value").alias("__x"), F.lit(None).cast(s.schema["__s"].dataType).alias("__s"), F.lit(1).alias("__point"))
-    w = Window.partitionBy("ListID").orderBy("__x", "__point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = s.unionByName(p).withColumn("__s", F.last("__s", ignorenulls=True).over(w)).filter("__point = 1")
-    return found.select("ListID", F.col("__x").alias("X_Value"), *(F.col(f"__s.{c}").alias(c) for c in names))
-
-
 def polynomial_at(t: Column, a: str, b: str, c: str, d: str) -> Column:
     return ((F.col(a) * t + F.col(b)) * t + F.col(c)) * t + F.col(d)
 
 
-def evaluated(points: DataFrame, pairs: DataFrame, segments: DataFrame, least: int, tangent: bool, flat: bool) -> DataFrame:
+def evaluated(points: DataFrame, segments: DataFrame, tangent: bool, flat: bool) -> DataFrame:
     """Values on cubic segments inside, and on the ends' levels or lines outside."""
-    k = knots(pairs)
-    ends = k.groupBy("ListID").agg(
-        F.count(F.lit(1)).alias("n"), F.min("X_Value").alias("x0"), F.max("X_Value").alias("x1"), F.min_by("Y_Value", "X_Value").alias("y0"), F.max_by("Y_Value", "X_Value").alias("y1")
-    ).filter(F.col("n") >= least)
+    t = F.col("Max_X_Value") - F.col("Min_X_Value")
+    cubic = ("A_Coefficient", "B_Coefficient", "C_Coefficient", "D_Coefficient")
+    at_end = polynomial_at(t, *cubic)
     if tangent:  # slopes of the spline at its ends
-        t = F.col("Max_X_Value") - F.col("Min_X_Value")
-        right = (3 * F.col("A_Coefficient") * t + 2 * F.col("B_Coefficient")) * t + F.col("C_Coefficient")
-        slopes = segments.groupBy(F.col("ListID").alias("id")).agg(F.min_by("C_Coefficient", "Min_X_Value").alias("s0"), F.max_by(right, F.col("Min_X_Value")).alias("s1"))
+        s0, s1 = F.col("C_Coefficient"), (3 * F.col("A_Coefficient") * t + 2 * F.col("B_Coefficient")) * t + F.col("C_Coefficient")
     else:  # of the lines through the first two and the last two knots
-        lines = piecewise_linear(pairs)
-        slopes = lines.groupBy(F.col("ListID").alias("id")).agg(F.min_by("Slope", "Min_X_Value").alias("s0"), F.max_by("Slope", "Min_X_Value").alias("s1"))
-    ends = ends.join(slopes, same(ends["ListID"], slopes["id"])).drop("id").withColumnRenamed("ListID", "of")
-    placed = with_segments(conform(points, POINTS).filter("X_Value is not null"), segments)
+        s0 = s1 = (at_end - F.col("D_Coefficient")) / t
+    first = F.min_by(F.struct(F.col("Min_X_Value").alias("x"), F.col("D_Coefficient").alias("y"), s0.alias("s")), F.col("Min_X_Value"))
+    last = F.max_by(F.struct(F.col("Max_X_Value").alias("x"), at_end.alias("y"), s1.alias("s")), F.col("Min_X_Value"))
+    ends = segments.groupBy("ListID").agg(F.struct(first.alias("first"), last.alias("last")).alias("whole"))
+    begun = segments.select("ListID", F.col("Min_X_Value").alias("x"), F.struct("Min_X_Value", *cubic).alias("knot"))
+    placed = last_at_or_before(conform(points, POINTS).filter("X_Value is not null"), begun, ends)
     x = F.col("X_Value")
-    inside = polynomial_at(x - F.col("Min_X_Value"), "A_Coefficient", "B_Coefficient", "C_Coefficient", "D_Coefficient")
-    before = F.col("y0") if flat else F.col("y0") + F.col("s0") * (x - F.col("x0"))
-    after = F.col("y1") if flat else F.col("y1") + F.col("s1") * (x - F.col("x1"))
-    y = F.when(x < F.col("x0"), before).when(x > F.col("x1"), after).otherwise(inside)
-    return placed.join(ends, same(placed["ListID"], ends["of"])).select("ListID", "X_Value", y.alias("Interpolated_Y_Value"))
+    inside = polynomial_at(x - F.col("knot.Min_X_Value"), *(f"knot.{c}" for c in cubic))
+    outside = lambda end: F.col(f"whole.{end}.y") + (F.lit(0.0) if flat else F.col(f"whole.{end}.s") * (x - F.col(f"whole.{end}.x")))
+    y = F.when(x < F.col("whole.first.x"), outside("first")).when(x > F.col("whole.last.x"), outside("last")).otherwise(inside)
+    return placed.select("ListID", "X_Value", y.alias("Interpolated_Y_Value"))
 
 
 def interpolate(pairs: DataFrame, points: DataFrame, method: str, extrapolation: str | None = "F") -> DataFrame:
@@ -151,12 +138,12 @@ def interpolate(pairs: DataFrame, points: DataFrame, method: str, extrapolation:
         segments = line.select("ListID", "Min_X_Value", "Max_X_Value", F.lit(0.0).alias("A_Coefficient"), F.lit(0.0).alias("B_Coefficient"), F.col("Slope").alias("C_Coefficient"), level)
     else:
         segments = cubic_spline(pairs, NATURAL if method == "CSN" else NOT_A_KNOT)
-    return evaluated(points, pairs, segments, codes[method], False, extrapolation == "F")
+    return evaluated(points, materialise(segments), False, extrapolation == "F")
 
 
 def interpolate_natural_spline(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """The natural spline at points, continued outside the knots along its tangents."""
-    return evaluated(points, pairs, cubic_spline(pairs, NATURAL), 3, True, False)
+    return evaluated(points, materialise(cubic_spline(pairs, NATURAL)), True, False)
 
 
 def local_polynomial_regression(pairs: DataFrame, kernel_name: str, radius: float, order: int, compat: bool = False) -> DataFrame:
