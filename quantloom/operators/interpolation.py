@@ -9,13 +9,14 @@ knots leaves nothing of a double's 53 bits.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.scalar import kernel
-from quantloom.operators.scans import last_at_or_before, numbered, with_next
+from quantloom.operators.scans import last_at_or_before, numbered, running_sums, with_next
 from quantloom.schemas import PAIRS, POINTS, conform, same
 from quantloom.sources.lookups import EXTRAPOLATION_METHODS, INTERPOLATION_METHODS, KERNELS
 from quantloom.storage import materialise
@@ -146,13 +147,40 @@ def interpolate_natural_spline(pairs: DataFrame, points: DataFrame) -> DataFrame
     return evaluated(points, materialise(cubic_spline(pairs, NATURAL)), True, False)
 
 
+def kernel_polynomial(name: str, left: bool) -> np.ndarray:
+    """Coefficients by rising power of a kernel on one side of 0; the cosine by its series, to 1e-12 on [-1, 1]."""
+    one, u = np.polynomial.Polynomial([1.0]), np.polynomial.Polynomial([0.0, 1.0])
+    away = -u if left else u  # |u|
+    bodies = {
+        "uniform": 0.5 * one,
+        "triangular": one - away,
+        "parabolic": 0.75 * (one - u**2),
+        "quartic": 15 / 16 * (one - u**2) ** 2,
+        "triweight": 35 / 32 * (one - u**2) ** 3,
+        "tricube": 70 / 81 * (one - away**3) ** 3,
+        "cosine": math.pi / 4 * sum(((-1) ** k / math.factorial(2 * k) * (math.pi / 2 * u) ** (2 * k) for k in range(1, 10)), one),
+    }
+    return bodies[name.lower()].coef
+
+
+def moved_moments(moments: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Sums of (t - by)^k, k = 0, 1, ..., from sums of t^k, a row each: by the binomial theorem."""
+    out = np.zeros_like(moments)
+    for k in range(moments.shape[1]):
+        for j in range(k + 1):
+            out[:, k] += math.comb(k, j) * (-by) ** (k - j) * moments[:, j]
+    return out
+
+
 def local_polynomial_regression(pairs: DataFrame, kernel_name: str, radius: float, order: int, compat: bool = False) -> DataFrame:
     """ListID, X_Value, Y_Value: at each x the value of the polynomial that fits its neighbours best.
 
-    Neighbours lie nearer than the radius and weigh by the kernel.  They meet in buckets of that
-    width, and only sums of powers are kept, so a list is never gathered.  A repeated x in a list, an
-    unknown kernel, a radius that is not positive or a negative order gives no rows; points whose neighbours
-    do not fix a polynomial have none.  ``compat`` sums all coefficients.
+    Neighbours lie nearer than the radius and weigh by the kernel, which is a polynomial on either side.  So
+    all that is needed of them are sums of powers, and those are differences of running sums: within buckets
+    of the radius's width, about the bucket's middle, up to x and to either end of its neighbourhood.  Costs grow
+    with the rows, however dense they are.  A repeated x in a list, an unknown kernel, a radius that is not
+    positive or a negative order gives no rows; points with too few neighbours to fix a polynomial have
+    none.  ``compat`` sums all coefficients.
     """
     p = conform(pairs, PAIRS).dropna(subset=["X_Value", "Y_Value"])
     known = (kernel_name or "").lower() in {k[0].lower() for k in KERNELS}
@@ -160,26 +188,57 @@ def local_polynomial_regression(pairs: DataFrame, kernel_name: str, radius: floa
         p, radius, order, kernel_name = p.limit(0), 1.0, 1, KERNELS[0][0]
     twice = p.groupBy("ListID", "X_Value").count().filter("count > 1")
     p = p.filter(twice.agg(F.count(F.lit(1)).alias("n")).scalar() == 0)
+    left, right = kernel_polynomial(kernel_name, True), kernel_polynomial(kernel_name, False)
+    n_x, n_y = len(left) + 2 * order, len(left) + order
+    names = [f"m{k}" for k in range(n_x)] + [f"y{k}" for k in range(n_y)]
     bucket = F.floor(F.col("X_Value") / radius)
-    centres = p.select("ListID", F.col("X_Value").alias("x0"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    near = p.select(F.col("ListID").alias("id"), F.col("X_Value").alias("x"), F.col("Y_Value").alias("y"), bucket.alias("b"))
-    u = (F.col("x") - F.col("x0")) / radius
-    met = centres.join(near, same(centres["ListID"], near["id"]) & (centres["bucket"] == near["b"]) & (F.abs(F.col("x") - F.col("x0")) < radius))
-    met = met.select("ListID", "x0", u.alias("u"), "y", kernel(u, kernel_name).alias("w"))
-    power = lambda k: F.lit(1.0) if k == 0 else F.pow("u", F.lit(float(k)))
-    sums = [F.sum(F.col("w") * power(k)).alias(f"s{k}") for k in range(2 * order + 1)] + [F.sum(F.col("w") * power(k) * F.col("y")).alias(f"t{k}") for k in range(order + 1)]
-    s = met.groupBy("ListID", "x0").agg(*sums)
+    in_bucket = p.select(F.struct("ListID", bucket.alias("b")).alias("ListID"), F.col("X_Value").alias("x"), F.col("Y_Value").alias("y"))
+    t = F.col("x") / radius - F.col("ListID.b") - 0.5
+    power = lambda k: F.lit(1.0) if k == 0 else F.pow(t, F.lit(float(k)))
+    terms = {f"m{k}": power(k) for k in range(n_x)} | {f"y{k}": power(k) * F.col("y") for k in range(n_y)}
+    summed = running_sums(in_bucket.withColumns(terms).drop("y"), "x", names)
+    totals = F.array(*(f"total_{c}" for c in names)).alias("total")
+    sums = materialise(summed.select("ListID", "x", F.array(*names).alias("sum"), totals))
+    # before its first point a bucket has sums of nothing
+    nothing = sums.groupBy("ListID").agg(F.first("total").alias("total")).select("ListID", F.lit(-math.inf).alias("x"), F.array_repeat(F.lit(0.0), len(names)).alias("sum"), "total")
+    knots_of = sums.unionByName(nothing).select("ListID", "x", F.struct("sum", "total").alias("knot"))
+    beside = lambda side: F.struct(F.struct(F.col("ListID.ListID").alias("ListID"), (F.col("ListID.b") + side).alias("b")).alias("ListID"), (F.col("x") + side * radius).alias("X_Value"), F.lit(side).alias("side"))
+    asked = sums.select("x", F.col("ListID").alias("own"), "sum", "total", F.explode(F.array(beside(-1), beside(1))).alias("q")).select("q.*", F.col("x").alias("x0"), F.when(F.col("q.side") < 0, F.struct("sum", "total")).alias("mine"))
+    found = last_at_or_before(asked, knots_of, also=("x0", "side", "mine"), below="side > 0")
+    # the neighbours before in the bucket before, in its own bucket up to x and beyond, and those in the bucket behind
+    each = found.groupBy(F.col("ListID.ListID").alias("ListID"), "x0").agg(
+        F.max(F.when(F.col("side") < 0, F.col("ListID.b") + 1)).alias("b"),
+        F.first(F.when(F.col("side") < 0, F.col("mine")), ignorenulls=True).alias("mine"),
+        F.first(F.when(F.col("side") < 0, F.col("knot")), ignorenulls=True).alias("before"),
+        F.first(F.when(F.col("side") > 0, F.col("knot.sum")), ignorenulls=True).alias("behind"),
+    )
+    none = F.array_repeat(F.lit(0.0), len(names))
+    minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    parts = each.select(
+        "ListID", "x0", (F.col("x0") / radius - F.col("b") - 0.5).alias("t"),
+        F.coalesce(minus(F.col("before.total"), F.col("before.sum")), none).alias("p0"), F.col("mine.sum").alias("p1"), minus(F.col("mine.total"), F.col("mine.sum")).alias("p2"), F.coalesce("behind", none).alias("p3"),
+    )
 
     @F.pandas_udf("array<double>")
-    def solve(s: pd.Series, t: pd.Series) -> pd.Series:
+    def solve(t: pd.Series, *sums: pd.Series) -> pd.Series:
+        here = t.to_numpy()
+        s, r, count = np.zeros((len(t), 2 * order + 1)), np.zeros((len(t), order + 1)), np.zeros(len(t))
+        for part, shift, w in zip(sums, (1.0, 0.0, 0.0, -1.0), (left, left, right, right), strict=True):
+            m = np.stack(part.to_list())
+            count += m[:, 0]
+            of_x, of_y = moved_moments(m[:, :n_x], here + shift), moved_moments(m[:, n_x:], here + shift)
+            for k, c in enumerate(w):
+                s += c * of_x[:, k : k + 2 * order + 1]
+                r += c * of_y[:, k : k + order + 1]
         place = np.add.outer(np.arange(order + 1), np.arange(order + 1))
-        a, b = np.stack(s.to_list())[:, place], np.stack(t.to_list())
-        fixed = np.linalg.matrix_rank(a, hermitian=True) == order + 1
+        a = s[:, place]
+        # distinct x fix a polynomial if they are enough; rounding leaves no more than this of a matrix that they do not fix
+        fixed = (count > order) & (np.linalg.matrix_rank(a, hermitian=True) == order + 1)
         out: list = [None] * len(a)
-        for k, beta in zip(np.flatnonzero(fixed), np.linalg.solve(a[fixed], b[fixed][..., None])[..., 0], strict=True):
+        for k, beta in zip(np.flatnonzero(fixed), np.linalg.solve(a[fixed], r[fixed][..., None])[..., 0], strict=True):
             out[k] = beta
         return pd.Series(out)
 
-    fit = s.select("ListID", "x0", solve(F.array(*(f"s{k}" for k in range(2 * order + 1))), F.array(*(f"t{k}" for k in range(order + 1)))).alias("beta")).filter("beta is not null")
+    fit = parts.select("ListID", "x0", solve("t", "p0", "p1", "p2", "p3").alias("beta")).filter("beta is not null")
     total = sum((F.get("beta", F.lit(k)) / radius**k for k in range(1, order + 1)), F.get("beta", F.lit(0)))
     return fit.select("ListID", F.col("x0").alias("X_Value"), (total if compat else F.get("beta", F.lit(0))).alias("Y_Value"))

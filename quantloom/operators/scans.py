@@ -69,14 +69,36 @@ def numbered(rows: DataFrame, x: str) -> DataFrame:
     return both.withColumn("r", F.row_number().over(w) - 2 + start).withColumn("n", size).filter(f"{ROLE} = 1").drop(ROLE, PART, "before")
 
 
-def last_at_or_before(points: DataFrame, knots: DataFrame, of_list: DataFrame | None = None) -> DataFrame:
-    """ListID, X_Value of every point (ListID, X_Value) with `knot`, the last of its list's knots (ListID, x, knot) at or before it, or null.
+def running_sums(rows: DataFrame, x: str, values: list[str]) -> DataFrame:
+    """The rows with the sums of the values over their list up to them, and over all of it as total_...: each x is once in a list."""
+    base = ranged(rows, x)
+    sums = [F.sum(v).alias(v) for v in values]
+    parts = by_list(base.groupBy("ListID", PART).agg(*sums), *values)
+    zeros = F.struct(*(F.lit(0.0).alias(v) for v in values))
+
+    def added(some: Column) -> Column:
+        return F.aggregate(some, zeros, lambda total, p: F.struct(*((total[v] + p[v]).alias(v) for v in values)))
+
+    before = F.transform("parts", lambda p, k: F.struct(p[PART].alias(PART), added(F.slice("parts", F.lit(1), k)).alias("__before")))
+    heads = each_part(parts.select("ListID", "parts", added(F.col("parts")).alias("__total")), before, "__total")
+    heads = heads.select("ListID", PART, "__total", F.lit(0).alias(ROLE), "__before.*")
+    w = scan_window(ROLE, x).rowsBetween(Window.unboundedPreceding, 0)
+    both = base.withColumn(ROLE, F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    summed = both.withColumns({v: F.sum(v).over(w) for v in values} | {"__total": F.first("__total", ignorenulls=True).over(w)}).filter(f"{ROLE} = 1")
+    return summed.withColumns({f"total_{v}": F.col(f"__total.{v}") for v in values}).drop(ROLE, PART, "__total")
+
+
+def last_at_or_before(points: DataFrame, knots: DataFrame, of_list: DataFrame | None = None, also: tuple[str, ...] = (), below: str = "false") -> DataFrame:
+    """ListID, X_Value and the columns `also` of every point with `knot`, the last of its list's knots (ListID, x, knot) at or before it, or null.
+
+    Points of which `below` holds take the last knot before them alone.
 
     Given `of_list` (ListID, whole), a row for each list, points also get their list's `whole`, and lists without one go.
     """
     k = knots.select("ListID", F.col("x").alias("X_Value"), "knot", F.lit(1).alias(ROLE))
-    p = points.select("ListID", "X_Value", F.lit(None).cast(k.schema["knot"].dataType).alias("knot"), F.lit(2).alias(ROLE))
-    base = ranged(k.unionByName(p), "X_Value", ROLE)
+    role = F.when(F.expr(below), 0).otherwise(2).alias(ROLE)
+    p = points.select("ListID", "X_Value", F.lit(None).cast(k.schema["knot"].dataType).alias("knot"), role, F.struct(F.lit(1), *also).alias("__also"))
+    base = ranged(k.unionByName(p, allowMissingColumns=True), "X_Value", ROLE)
     latest = F.max(F.when(F.col(ROLE) == 1, F.struct("X_Value", "knot"))).alias("latest")
     lists = by_list(base.groupBy("ListID", PART).agg(latest), "latest")
     columns: tuple[str, ...] = ("knot",)
@@ -86,10 +108,10 @@ def last_at_or_before(points: DataFrame, knots: DataFrame, of_list: DataFrame |
         columns = ("knot", "whole")
     # a part begins with the last knot of all parts before it
     begin = F.transform("parts", lambda p, i: F.struct(p[PART].alias(PART), F.array_max(F.transform(F.slice("parts", F.lit(1), i), lambda q: q["latest"]))["knot"].alias("knot")))
-    heads = each_part(lists, begin, *columns[1:]).withColumn(ROLE, F.lit(0))
+    heads = each_part(lists, begin, *columns[1:]).withColumn(ROLE, F.lit(-1))
     w = scan_window("__place", "X_Value", ROLE).rowsBetween(Window.unboundedPreceding, 0)
-    both = base.unionByName(heads, allowMissingColumns=True).withColumn("__place", F.col(ROLE) > 0)
-    found = both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns}).filter(f"{ROLE} = 2")
+    both = base.unionByName(heads, allowMissingColumns=True).withColumn("__place", F.col(ROLE) >= 0)
+    found = both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns}).filter("__also is not null")
     if of_list is not None:
         found = found.filter("whole is not null")
-    return found.select("ListID", "X_Value", *columns)
+    return found.select("ListID", "X_Value", *(F.col(f"__also.{c}").alias(c) for c in also), *columns)

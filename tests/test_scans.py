@@ -92,3 +92,27 @@ def test_scans_of_empty_tables(narrow):
     empty = narrow.createDataFrame([], PAIRS)
     assert scans.with_next(empty, "X_Value", "Y_Value").count() == scans.numbered(empty, "X_Value").count() == 0
     assert interpolation.interpolate(empty, narrow.createDataFrame([(1, 1.0)], POINTS), "CSN").count() == 0
+
+
+KERNEL_OF = {
+    "Uniform": lambda u: 0.5 + 0 * u, "Triangular": lambda u: 1 - abs(u), "Parabolic": lambda u: 0.75 * (1 - u * u), "Quartic": lambda u: 15 / 16 * (1 - u * u) ** 2,
+    "Triweight": lambda u: 35 / 32 * (1 - u * u) ** 3, "Tricube": lambda u: 70 / 81 * (1 - abs(u) ** 3) ** 3, "Cosine": lambda u: np.pi / 4 * np.cos(np.pi / 2 * u),
+}
+
+
+@pytest.mark.parametrize("kernel", ["Tricube", "Cosine", "Uniform"])
+def test_moving_moments_are_the_sums_over_all_neighbours(narrow, kernel):
+    rng = np.random.default_rng(3)
+    x = np.unique(np.round(np.concatenate([1e4 + rng.uniform(0, 6, 300), 1e4 + 3 + rng.uniform(0, 0.5, 300), [1e4 + 20, 1e4 + 21.3, 1e4 + 21.9]]), 6))
+    y = np.sin(x) + rng.normal(size=len(x))
+    df = narrow.createDataFrame([(7, float(a), float(b)) for a, b in zip(x, y, strict=True)], PAIRS)
+    got = {r["X_Value"]: r["Y_Value"] for r in interpolation.local_polynomial_regression(df, kernel, 1.25, 2).collect()}
+    want = {}
+    for at in x:
+        u = (x - at) / 1.25
+        near = abs(u) < 1
+        if near.sum() >= 3:
+            w, v = KERNEL_OF[kernel](u[near]), np.vander(u[near], 3, increasing=True)
+            want[at] = np.linalg.solve((v.T * w) @ v, (v.T * w) @ y[near])[0]
+    assert set(got) == set(want) and len(want) < len(x)
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-6
