@@ -1,7 +1,7 @@
 """Batches of matrices held as tables of elements (MatrixID, RowNumber, ColumnNumber, Value).
 
-Products, transposes, covariances, correlations and distances are joins and aggregates, so a matrix
-may be larger than a task.  Factorisations need a matrix as a whole: each is one call of a numpy
+Products, transposes and distances are joins and aggregates, covariances and correlations come from what
+each task's rows add up to, so a matrix may be larger than a task.  Factorisations need a matrix as a whole: each is one call of a numpy
 kernel, and matrices are spread over tasks by their id.
 
 A batch with an unsound matrix gives no rows at all (``on_invalid="batch"``), or only that matrix
@@ -11,11 +11,12 @@ A null id is an id like any other.  Empty input gives an empty result; extra col
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.schemas import MATRIX, conform, same
@@ -131,11 +132,83 @@ def transpose(m: DataFrame, on_invalid: str = "batch") -> DataFrame:
     return checked(m, on_invalid).select("MatrixID", F.col("ColumnNumber").alias("RowNumber"), F.col("RowNumber").alias("ColumnNumber"), "Value")
 
 
-def moments(m: DataFrame) -> DataFrame:
-    """MatrixID, c1, c2 with two columns' values of each row, for c1 <= c2."""
-    other = m.toDF("id", "row", "c2", "v2")
-    both = m.join(other, same(m["MatrixID"], other["id"]) & (m["RowNumber"] == other["row"]) & (m["ColumnNumber"] <= other["c2"]))
-    return both.select("MatrixID", F.col("ColumnNumber").alias("c1"), "c2", F.col("Value").alias("v1"), "v2")
+CELL = "MatrixID int, c1 int, c2 int, n long, m1 double, m2 double, s11 double, s22 double, s12 double, low int, high int, bad boolean"
+
+
+def row_moments(batches: Iterator[pa.RecordBatch], first_column: int, least_columns: int) -> Iterator[pa.RecordBatch]:
+    """What the rows of a task add up to: for each matrix and pair of columns a CELL.
+
+    Values are taken relative to the first row seen, so that columns that do not vary have no spread, not
+    even by rounding.
+    """
+    held: dict[int | None, list] = {}  # id -> [n, mean, centred products, lowest and highest row, bad]
+
+    def cells() -> pa.RecordBatch:
+        out: list[tuple] = []
+        for key, (n, mean, products, low, high, bad) in held.items():
+            spread = np.diag(products)
+            for i, j in zip(*np.triu_indices(len(mean)), strict=True):
+                out.append((key, i + first_column, j + first_column, n, mean[i], mean[j], spread[i], spread[j], products[i, j], low, high, bad))
+            if not len(mean):
+                out.append((key, None, None, n, None, None, None, None, None, low, high, True))
+        held.clear()
+        parts = list(zip(*out, strict=True)) or [[]] * 12
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 5, pa.int32(), pa.int32(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(parts, kinds, strict=True)], [c.split()[0] for c in CELL.split(", ")])
+
+    for batch in batches:
+        by_id: dict[int | None, list] = {}
+        for key, row, columns, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            by_id.setdefault(key, []).append((row, columns, values))
+        for key, rows in by_id.items():
+            p = len(rows[0][1])
+            whole = list(range(first_column, first_column + p))
+            sound = p >= least_columns and all(row is not None and columns == whole and None not in values for row, columns, values in rows)
+            numbers = [row for row, _, _ in rows if row is not None]
+            low, high = (min(numbers), max(numbers)) if numbers else (None, None)
+            if not sound:
+                new = [len(rows), np.zeros(0), np.zeros((0, 0)), low, high, True]
+            else:
+                v = np.array([values for _, _, values in rows])
+                away = v - v[0]
+                middle = away.mean(axis=0)
+                new = [len(rows), v[0] + middle, (away - middle).T @ (away - middle), low, high, False]
+            old = held.get(key)
+            if old is None:
+                held[key] = new
+            elif old[5] or new[5] or len(old[1]) != len(new[1]):
+                held[key] = [old[0] + new[0], np.zeros(0), np.zeros((0, 0)), low, high, True]
+            else:
+                n, gap = old[0] + new[0], new[1] - old[1]
+                held[key] = [n, old[1] + gap * (new[0] / n), old[2] + new[2] + np.outer(gap, gap) * (old[0] * new[0] / n), min(old[3], low), max(old[4], high), False]
+        if sum(h[2].size for h in held.values()) > 1 << 20:
+            yield cells()
+    yield cells()
+
+
+def moments(m: DataFrame, on_invalid: str, first_column: int = 1, least_columns: int = 1) -> DataFrame:
+    """MatrixID, c1 <= c2, and of the two columns: n, means m1 and m2, centred squares s11 and s22 and products s12.
+
+    The elements are shuffled once, into rows; what travels on is a row for each pair of columns of each task.  Unsound
+    matrices are left out, or empty the result, as everywhere; soundness comes out of the same pass.
+    """
+    pairs = F.sort_array(F.collect_list(F.struct("ColumnNumber", F.col("Value").alias("v"), F.col("Value").isNull().alias("null"))))
+    rows = m.groupBy("MatrixID", "RowNumber").agg(pairs.alias("e")).select("MatrixID", "RowNumber", F.col("e.ColumnNumber").alias("columns"), F.col("e.v").alias("values"))
+    cells = rows.mapInArrow(lambda batches: row_moments(batches, first_column, least_columns), CELL)
+    numbers = ("n", "m1", "m2", "s11", "s22", "s12")
+
+    def merged(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        gap_1, gap_2, weight = b["m1"] - a["m1"], b["m2"] - a["m2"], a["n"] * (b["n"] / n)
+        values = (n, a["m1"] + gap_1 * (b["n"] / n), a["m2"] + gap_2 * (b["n"] / n), a["s11"] + b["s11"] + gap_1 * gap_1 * weight, a["s22"] + b["s22"] + gap_2 * gap_2 * weight, a["s12"] + b["s12"] + gap_1 * gap_2 * weight)
+        return F.struct(*(v.alias(c) for v, c in zip(values, numbers, strict=True)))
+
+    grouped = cells.groupBy("MatrixID", "c1", "c2").agg(F.collect_list(F.struct(*numbers)).alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("bad").alias("bad"))
+    whole = F.aggregate(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)), merged)
+    found = materialise(grouped.withColumn("whole", whole).select("MatrixID", "c1", "c2", "whole.*", "low", "high", "bad"))
+    of_id = found.groupBy("MatrixID").agg(F.max("bad").alias("bad"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"))
+    unsound = of_id.filter("bad or least != most or not (low <=> 1) or not (high <=> most)").select("MatrixID")
+    return without_unsound(found, unsound, on_invalid).drop("low", "high", "bad")
 
 
 def mirrored(upper: DataFrame, name: str) -> DataFrame:
@@ -149,16 +222,14 @@ def mirrored(upper: DataFrame, name: str) -> DataFrame:
 
 def covariance(m: DataFrame, on_invalid: str = "batch") -> DataFrame:
     """Sample covariances of the columns; rows are observations, a single one gives NULL."""
-    upper = moments(checked(m, on_invalid)).groupBy("MatrixID", "c1", "c2").agg(F.covar_samp("v1", "v2").alias("v"), F.count(F.lit(1)).alias("n"))
-    return mirrored(upper.withColumn("v", F.when(F.col("n") > 1, F.col("v"))), "v")
+    cells = moments(conform(m, MATRIX), on_invalid)
+    return mirrored(cells.withColumn("v", F.try_divide("s12", (F.col("n") - 1).cast("double"))), "v")
 
 
 def correlation(m: DataFrame, on_invalid: str = "batch") -> DataFrame:
     """Correlations of the columns; 0 with a column that does not vary."""
-    upper = moments(checked(m, on_invalid)).groupBy("MatrixID", "c1", "c2").agg(
-        F.covar_pop("v1", "v2").alias("v"), F.stddev_pop("v1").alias("s1"), F.stddev_pop("v2").alias("s2")
-    )
-    return mirrored(upper.withColumn("v", F.coalesce(F.try_divide("v", F.col("s1") * F.col("s2")), F.lit(0.0))), "v")
+    cells = moments(conform(m, MATRIX), on_invalid)
+    return mirrored(cells.withColumn("v", F.coalesce(F.try_divide("s12", F.sqrt("s11") * F.sqrt("s22")), F.lit(0.0))), "v")
 
 
 def minkowski(p: float | None, first: DataFrame, second: DataFrame) -> DataFrame:
@@ -190,6 +261,8 @@ def minkowski(p: float | None, first: DataFrame, second: DataFrame) -> DataFrame
     gaps = F.zip_with("v1", "v2", lambda x, y: F.abs(x - y))
     if p is None:
         distance = F.array_max(gaps)
+    elif p == 2:
+        distance = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap * gap))
     else:
         distance = F.pow(F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + F.pow(gap, F.lit(float(p)))), F.lit(1.0 / p))
     return pairs.select(F.lit(p).cast("double").alias("OrderValue"), F.col("id_1").alias("MatrixID"), "RowNumber_1", "RowNumber_2", distance.alias("Distance"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.operators.matrix import checked, eigen, mirrored, moments, shapes, without_unsound
+from quantloom.operators.matrix import eigen, mirrored, moments, shapes, without_unsound
 from quantloom.schemas import MATRIX, PAIRS, conform, same
 from quantloom.storage import discard, materialise
 
@@ -60,19 +60,14 @@ def multiple_linear_regression(x: DataFrame, y: DataFrame, on_invalid: str = "ba
     There is no implicit intercept.  y has one column and the rows of x.  Matrices whose columns
     depend on each other give no rows.
     """
-    x, y = conform(x, MATRIX), conform(y, MATRIX)
-    a, b = shapes(x), shapes(y).toDF("id", "rows", "columns", "fine")
-    both = a.join(b, same(a["MatrixID"], b["id"]), "full").filter("rows is null or n_rows is null or columns != 1 or n_rows != rows or not valid or not fine")
-    bad = both.select(F.coalesce("MatrixID", "id").alias("MatrixID"))
-    x = without_unsound(x, bad, on_invalid)
-    gram = moments(x).groupBy("MatrixID", "c1", "c2").agg(F.sum(F.col("v1") * F.col("v2")).alias("v"))
-    rows = y.select(F.col("MatrixID").alias("id"), F.col("RowNumber").alias("row"), F.col("Value").alias("y"))
-    cross = x.join(rows, same(x["MatrixID"], rows["id"]) & (x["RowNumber"] == rows["row"]))
-    cross = cross.groupBy("MatrixID", F.col("ColumnNumber").alias("c1"), F.lit(0).alias("c2")).agg(F.sum(F.col("Value") * F.col("y")).alias("v"))
-    square = rows.groupBy(F.col("id").alias("MatrixID"), F.lit(0).alias("c1"), F.lit(0).alias("c2")).agg(F.sum(F.col("y") * F.col("y")).alias("v"))
+    # y is column 0 of one matrix with x; a second column of it would be column -2
+    of_y = conform(y, MATRIX).withColumn("ColumnNumber", F.when(F.col("ColumnNumber") == 1, 0).otherwise(-F.col("ColumnNumber")))
+    of_x = conform(x, MATRIX).withColumn("ColumnNumber", F.when(F.col("ColumnNumber") > 0, F.col("ColumnNumber")))
+    cells = moments(of_x.unionByName(of_y), on_invalid, first_column=0, least_columns=2)
+    gram = cells.select("MatrixID", "c1", "c2", (F.col("s12") + F.col("n") * F.col("m1") * F.col("m2")).alias("v"))
 
     def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        n = int(part["c1"].max())
+        n = int(part["c2"].max())
         s = np.zeros((n + 1, n + 1))
         s[part["c1"], part["c2"]] = part["v"]
         s[part["c2"], part["c1"]] = part["v"]
@@ -89,7 +84,7 @@ def multiple_linear_regression(x: DataFrame, y: DataFrame, on_invalid: str = "ba
         out.insert(0, "MatrixID", pd.Series([key[0]] * len(out), dtype="Int32"))
         return out
 
-    return gram.unionByName(cross).unionByName(square).groupBy("MatrixID").applyInPandas(solve, "MatrixID int, ResultID int, Value double")
+    return gram.groupBy("MatrixID").applyInPandas(solve, "MatrixID int, ResultID int, Value double")
 
 
 def logistic_regression(x: DataFrame, y: DataFrame, normalize: bool = False, on_invalid: str = "batch", max_steps: int = MAX_STEPS) -> DataFrame:
@@ -174,14 +169,9 @@ def principal_components(m: DataFrame, normalize: bool = True, on_invalid: str =
     ``normalize`` takes columns as z-scores (population deviation; a column that does not vary becomes
     0).  ``compat`` maps the loadings of normalised columns by deviation and mean, as values.
     """
-    m = checked(m, on_invalid)
-    stats = m.groupBy(F.col("MatrixID").alias("id"), F.col("ColumnNumber").alias("c")).agg(F.avg("Value").alias("mean"), F.stddev_pop("Value").alias("dev"))
-    used = m
-    if normalize:
-        z = F.when(F.col("dev") == 0, 0.0).otherwise((F.col("Value") - F.col("mean")) / F.col("dev"))
-        used = m.join(stats, same(m["MatrixID"], stats["id"]) & (m["ColumnNumber"] == stats["c"])).select("MatrixID", "RowNumber", "ColumnNumber", z.alias("Value"))
-    upper = moments(used).groupBy("MatrixID", "c1", "c2").agg(F.covar_samp("v1", "v2").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    cov = mirrored(upper, "v")
+    cells = moments(conform(m, MATRIX), on_invalid).filter("n > 1")
+    z = F.coalesce(F.try_divide("s12", F.sqrt("s11") * F.sqrt("s22")), F.lit(0.0)) * F.col("n")
+    cov = mirrored(cells.withColumn("v", (z if normalize else F.col("s12")) / (F.col("n") - 1)), "v")
     names = ["MatrixID", "Result", "RowNumber", "ColumnNumber", "Value"]
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -199,5 +189,6 @@ def principal_components(m: DataFrame, normalize: bool = True, on_invalid: str =
     found = cov.groupBy("MatrixID").applyInPandas(run, "MatrixID int, Result string, RowNumber int, ColumnNumber int, Value double")
     if not (normalize and compat):
         return found
+    stats = cells.filter("c1 = c2").select(F.col("MatrixID").alias("id"), F.col("c1").alias("c"), F.col("m1").alias("mean"), F.sqrt(F.col("s11") / F.col("n")).alias("dev"))
     scaled = found.join(stats, same(found["MatrixID"], stats["id"]) & (found["ColumnNumber"] == stats["c"]) & (found["Result"] == "Loading Vector"), "left")
     return scaled.select(*names[:4], F.when(F.col("dev").isNotNull(), F.col("Value") * F.col("dev") + F.col("mean")).otherwise(F.col("Value")).alias("Value"))
