@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from quantloom import sql as surface
 from quantloom.functions import options, scalar
-from quantloom.operators import affine_scaling, interpolation, matrix, optimization, polynomial, regression, yields
+from quantloom.operators import affine_scaling, interpolation, matrix, optimization, polynomial, regression, tall_qr, yields
+from quantloom.operators.scans import numbered
 from quantloom.plans import oracles
 from quantloom.sources import calendar, catalogue, lookups
-from quantloom.storage import shared_folder
+from quantloom.storage import file_system, materialise, shared_folder
 from quantloom.streaming import audit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +153,29 @@ def matrix_eigendecomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(matrix.eigendecomposition(correlated(spark, sf_dir)))
 
 
+@query(
+    """WITH o AS (SELECT 1::DOUBLE AS v1, l_quantity / 50 AS v2, l_extendedprice / 100000 AS v3, l_discount * 10 AS v4 FROM lineitem),
+s AS (SELECT count(*) AS n, avg(v2) AS m2, avg(v3) AS m3, avg(v4) AS m4, var_pop(v2) * count(*) AS s22, var_pop(v3) * count(*) AS s33, var_pop(v4) * count(*) AS s44,
+  covar_pop(v2, v3) * count(*) AS s23, covar_pop(v2, v4) * count(*) AS s24, covar_pop(v3, v4) * count(*) AS s34 FROM o),
+a AS (SELECT *, sqrt(s22) AS r22, s23 / sqrt(s22) AS r23, s24 / sqrt(s22) AS r24 FROM s),
+b AS (SELECT *, sqrt(s33 - r23 * r23) AS r33 FROM a),
+c AS (SELECT *, (s34 - r23 * r24) / r33 AS r34 FROM b),
+r AS (SELECT [[sqrt(n), m2 * sqrt(n), m3 * sqrt(n), m4 * sqrt(n)], [0, r22, r23, r24], [0, 0, r33, r34], [0, 0, 0, sqrt(s44 - r24 * r24 - r34 * r34)]] AS m FROM c)
+SELECT 'R Matrix' AS Result, i AS RowNumber, j AS ColumnNumber, round(m[i][j], 4) + 0.0 AS Value FROM r, range(1, 5) x(i), range(1, 5) y(j)
+UNION ALL SELECT 'Product of Q', i, j, (i = j)::INTEGER::DOUBLE FROM range(1, 5) x(i), range(1, 5) y(j)"""
+)
+def matrix_tall_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One matrix with a row for each row of lineitem: its R, and Q'Q, which shows that the columns of Q are orthonormal."""
+    items = table(spark, sf_dir, "lineitem").withColumn("x", F.struct("l_orderkey", "l_linenumber"))
+    rows = numbered(items.select(F.lit(1).alias("ListID"), "x", "l_quantity", "l_extendedprice", "l_discount"), "x")
+    values = F.array(*(F.struct(F.lit(k).alias("ColumnNumber"), v.alias("Value")) for k, v in enumerate((F.lit(1.0), F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000, F.col("l_discount") * 10), 1)))
+    m = rows.select(F.lit(1).alias("MatrixID"), (F.col("r") + 1).cast("int").alias("RowNumber"), F.explode(values).alias("e")).select("MatrixID", "RowNumber", "e.*")
+    found = materialise(tall_qr.tall_qr(m))
+    q = found.filter("Result = 'Q Matrix'").drop("Result")
+    both = matrix.product(matrix.transpose(q), q).select(F.lit("Product of Q").alias("Result"), "RowNumber", "ColumnNumber", "Value")
+    return rounded(found.filter("Result = 'R Matrix'").select("Result", "RowNumber", "ColumnNumber", "Value").unionByName(both), 4)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All embeddings as rows of one matrix, and the mean of each label as rows of another."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("v"), "label", F.posexplode("embedding").alias("k", "x"))
@@ -688,6 +712,15 @@ def feed_of(spark: SparkSession, events: DataFrame) -> DataFrame:
 APPENDED = "SELECT ts::DATE AS EventDate, event_type AS DatabaseName, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY 1, 2"
 
 
+def log_folder(spark: SparkSession) -> str:
+    """A new folder beside the session's intermediate tables, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    for name in (path, f"{path}-checkpoint", f"{path}-summary"):
+        where, files = file_system(spark, name)
+        files.deleteOnExit(where)
+    return path
+
+
 def appended(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("EventDate", "DatabaseName").agg(F.count(F.lit(1)).alias("n"))
 
@@ -695,7 +728,7 @@ def appended(spark: SparkSession, path: str) -> DataFrame:
 @query(APPENDED)
 def audit_batch_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log after two batches, less the events of an excluded database."""
-    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    path = log_folder(spark)
     events = table(spark, sf_dir, "events")
     for part in ("user_id <= 100", "user_id > 100 or user_id is null"):
         audit.append_events(feed_of(spark, events.filter(part)), path, excluded=("tempdb",))
@@ -705,7 +738,7 @@ def audit_batch_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(APPENDED)
 def audit_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log from a stream that reads all there is."""
-    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    path = log_folder(spark)
     source = f"{sf_dir}/events.parquet"
     # a stream takes a folder or a pattern, not the path of one file
     events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{sf_dir}/event[s].parquet")
@@ -718,6 +751,23 @@ def audit_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.purge(log_of(spark, sf_dir), date(2024, 1, 20))[0].groupBy("EventType").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""WITH {LOG_SQL}, marked AS (SELECT *, LogTimestamp::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-10' AND UserName LIKE '%SERVICE\\SQLAgent%' AND EventType IN ('ALTER_INDEX', 'UPDATE_STATISTICS') AS gone FROM log)
+SELECT 'kept' AS side, LogTimestamp::DATE AS EventDate, EventType, count(*) AS n FROM marked WHERE NOT gone GROUP BY 1, 2, 3
+UNION ALL SELECT 'purged', LogTimestamp::DATE, EventType, count(*) FROM marked WHERE gone GROUP BY 1, 2, 3"""
+)
+def audit_purge_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of all events in folders a day, purged where it is: only the folders of six days are written anew."""
+    path = log_folder(spark)
+    log_of(spark, sf_dir).withColumn("EventDate", F.to_date("LogTimestamp")).write.partitionBy("EventDate").parquet(path)
+    days = audit.purge_days(spark, path, f"{path}-summary", last=date(2024, 1, 10), first=date(2024, 1, 5))
+    kept = spark.read.parquet(path).groupBy("EventDate", "EventType").agg(F.count(F.lit(1)).alias("n"))
+    if not days:
+        return kept.select(F.lit("kept").alias("side"), "*")
+    gone = spark.read.parquet(f"{path}-summary").groupBy("EventDate", "EventType").agg(F.sum("PurgedRecordCount").alias("n"))
+    return kept.select(F.lit("kept").alias("side"), "*").unionByName(gone.select(F.lit("purged").alias("side"), "*"))
+
+
 def databases(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     nothing = F.lit(None).cast("string")

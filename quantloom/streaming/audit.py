@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quantloom.storage import discard, file_system, materialise
+
 FIELDS = ("EventType", "DatabaseName", "SchemaName", "ObjectName")
 LOG = ("LogTimestamp", "EventXML", "EventType", "TSQLCommand", "DatabaseName", "SchemaName", "ObjectName", "UserName", "HostName", "ProgramName")
 VIEW = tuple(name for name in LOG if name != "EventXML")
@@ -103,3 +105,33 @@ def purge_log(log: DataFrame, kept_path: str, summary_path: str, **which: object
     summary.write.mode("append").parquet(summary_path)
     kept.write.mode("errorifexists").parquet(kept_path)
     return True
+
+
+def purge_days(spark: SparkSession, path: str, summary_path: str, **which: object) -> list[date]:
+    """Purges a log written in a folder a day where it is; returns the days that lost events.
+
+    Only the folders of those days are written anew, by Spark's dynamic overwrite of partitions, from a table that
+    holds what stays of them; a day of which nothing stays loses its folder.  All other days' files are left as they
+    are, so a purge costs what its days hold, not what the log holds.  Counts are appended to the summary first: after
+    a failure in between the purge is run again, and counts what is still there.
+    """
+    log = spark.read.parquet(path)
+    if "EventDate" not in log.columns:
+        raise ValueError("the log is not in folders by EventDate")
+    _, summary = purge(log.drop("EventDate"), **which)
+    summary = materialise(summary)
+    days = [r[0] for r in summary.select("EventDate").distinct().orderBy("EventDate").collect()]  # days of the log at most
+    if not days:
+        return []
+    touched = log.filter(F.col("EventDate").isin(days))
+    kept = materialise(touched.filter(~to_purge(touched, **which)))
+    left = {r[0] for r in kept.select("EventDate").distinct().collect()}
+    summary.write.mode("append").parquet(summary_path)
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("EventDate").parquet(path)
+    for day in days:
+        if day not in left:
+            where, files = file_system(spark, f"{path}/EventDate={day}")
+            files.delete(where, True)
+    discard(kept)
+    discard(summary)
+    return days
