@@ -16,6 +16,7 @@ from .near_dedup import near_duplicates
 from .packing import instruction_examples, pack_documents, pack_examples
 from .pii import find_pii
 from .quality_model import score_quality
+from . import quality_rules as rules
 from .quality_rules import judge
 from .secrets_scan import find_secrets
 from .spelling import spelling_variants
@@ -110,7 +111,15 @@ FROM doc_shingle JOIN item_shingle USING (k, g) JOIN item_size USING (item_id)
 GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n - 1e-9
 """
 
-OP3_SQL = r"""
+def words_in(words: tuple[str, ...]) -> str:
+    return "(?:^|[^a-z])(?:" + "|".join(words).replace("'", "''") + ")(?:[^a-z]|$)"
+
+
+def low_has(words: tuple[str, ...]) -> str:
+    return "regexp_matches(low, '" + "|".join(words).replace("'", "''") + "')"
+
+
+OP3_SQL = rf"""
 WITH d AS (
   SELECT doc_id, text,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -127,16 +136,17 @@ line AS (
     length(regexp_replace(x, '[^ \t]', '', 'g')) + 1 AS n,
     length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS symbols,
     length(regexp_replace(x, '[^!?]', '', 'g')) AS shouts,
-    length(regexp_replace(x, '[^.,;:!?…]', '', 'g')) AS marks,
+    regexp_matches(x, '[{rules.SENTENCE_MARKS}]') AS marked,
     length(regexp_replace(x, '[^|»›·•]', '', 'g')) AS seps
   FROM (SELECT doc_id, unnest(l) AS x FROM d)),
 judged AS (
   SELECT doc_id, length(x) AS c,
-    symbols > 0.3 * n OR (shouts > 0.3 * n AND shouts >= 3) OR (n >= 10 AND marks = 0)
+    symbols > 0.3 * n OR (shouts > 0.3 * n AND shouts >= 3) OR (n >= 10 AND NOT marked)
     OR (seps >= 3 AND seps > 0.2 * n)
-    OR (n <= 10 AND NOT regexp_matches(rtrim(x, ' '), '[.!?…]$')
-      AND regexp_matches(low, '(^|[^a-z])(home|menu|log in|login|sign in|sign up|register|next page|previous page|back to top|skip to content|click here|read more|learn more|share this|subscribe|newsletter|follow us|contact us|about us|site map|sitemap)([^a-z]|$)'))
-    OR (n <= 40 AND regexp_matches(low, 'all rights reserved|copyright|©|privacy policy|terms of use|terms of service|cookie|javascript|lorem ipsum|licensed under|released under|powered by')) AS failed
+    OR (n <= 10 AND NOT regexp_matches(rtrim(x, ' '), '[{rules.ENDS_OF_SENTENCES}]$')
+      AND (regexp_matches(low, '{words_in(rules.NAVIGATION)}') OR (regexp_matches(low, '{words_in(rules.MENU_WORDS)}')
+        AND (n <= 2 OR regexp_matches(low, '{words_in(rules.MENU_WORDS)}[^\n]*{words_in(rules.MENU_WORDS)}')))))
+    OR (n <= 40 AND ({low_has(rules.BOILERPLATE)} OR {' OR '.join(f'({low_has((word,))} AND {low_has(beside)})' for word, beside in rules.SUSPECTS)})) AS failed
   FROM line),
 lines AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE failed) AS n_failed_lines,

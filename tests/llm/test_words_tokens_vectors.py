@@ -283,3 +283,29 @@ def test_alphabets_are_those_of_a_search_by_splits():
     rng, parts = random.Random(0), ["012345", "0123456789", "01234567890", "123456", "1234567890", "abcdefg", ascii_uppercase, "_", "-", "x", "0", "12345"]
     runs = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 5))) for _ in range(3000)]
     assert [alphabetical(r) for r in runs] == [made(r) for r in runs] and 100 < sum(map(made, runs)) < 2900
+
+
+# 3
+PROSE = (
+    "Our kitchen staff bake a cookie every morning, and nobody complains about it.",
+    "The history of copyright law begins in England, long before printers agreed on anything.",
+    "He writes JavaScript for a living, and he is not ashamed of it.",
+    "She came home late, and the menu was already cold.",
+    "Home again in Berlin",
+    "人们 在 河 边 走 ， 看 着 水 流 过 桥 。",
+)
+NO_PROSE = (
+    "Alle Rechte vorbehalten.", "Tous droits réservés", "Todos los derechos reservados.", "Accueil Contact Mentions légales", "Copyright 2021 Example Inc.", "This website uses cookies, accept all?",
+    "Please enable JavaScript in your browser to view this page.", "Startseite", "Inicio Contacto", "Click here to read more", "Diese Seite verwendet Cookies, bitte akzeptieren Sie.", "Licensed under CC BY-NC 4.0.", "Powered by WordPress",
+)
+
+
+def test_rules_spare_prose_and_know_four_languages(spark):
+    from quantloom.llm.quality_rules import judge
+
+    rows = [(k, line) for k, line in enumerate((*PROSE, *NO_PROSE))]
+    failed = {r["doc_id"]: r["n_failed_lines"] for r in judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [rows[k][1] for k in failed if failed[k] != (k >= len(PROSE))] == []
+    lines = "\n".join([*PROSE, "", *NO_PROSE])
+    r = judge(spark.createDataFrame([(1, lines)], DOCS)).first()
+    assert (r["n_lines"], r["n_failed_lines"]) == (len(PROSE) + len(NO_PROSE), len(NO_PROSE)) and r["clean_text"] == "\n".join([*PROSE, ""])
