@@ -877,7 +877,7 @@ def linear_optimization_power_series(spark: SparkSession, sf_dir: str) -> DataFr
     objective = means.select(one, named(-F.col("x"))).select("ProblemID", "e.*")
     coefficients = items.select(one, F.col("i").alias("ConstraintID"), named(-F.col("x"))).select("ProblemID", "ConstraintID", "e.*")
     bounds = items.select(one, F.col("i").alias("ConstraintID"), (-F.col("y")).alias("Value"))
-    found = affine_scaling.power_series_optimization(objective, coefficients, bounds, feasibility_tolerance=1e-10, gathered=4096)
+    found = affine_scaling.power_series_optimization(objective, coefficients, bounds, safety_factor=0.95, feasibility_tolerance=1e-10, gathered=4096)
     return rounded(found, 3)
 
 
