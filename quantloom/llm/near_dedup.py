@@ -1,12 +1,12 @@
 """Near-duplicate documents by SimHash fingerprints, linked exactly with vantage-point trees.
 
-Fingerprints within 3 of 64 bits are within 1 in one of their two halves.  Each half has a tree: a
-node parts its fingerprints by their Hamming distance from a vantage point at the median of a
-bounded sample.  Beyond the median no partner lies further than the triangle bound allows, so a
-fingerprint goes to the far branch too only if it is within 1 of the boundary.  Leaves are shards.  Where
-many fingerprints share a half, no tree over that half can part them: a shard that is too large is
-parted by the tree over the other half, in which partners lie within all 3 bits.  Inside a shard
-trees over both halves go on until the rest is small enough to compare.
+Fingerprints within 3 of 64 bits agree in one of their four quarters, so each quarter's value names a
+shard in which all partners of that kind meet.  A shard that is too large for a task is dealt out again
+in the same way, by quarters of the other 48 bits.  Inside a shard a vantage-point tree, built by the
+task that holds it, parts the fingerprints by their Hamming distance from a vantage point at the
+median.  Beyond the median no partner lies further than the triangle bound allows, so a fingerprint
+goes to the far branch too only if it is within 3 of the boundary; leaves are compared.  Nothing of the
+fingerprints but counts reaches the driver, and there are four copies of each, sixteen in large shards.
 
 Equal fingerprints are one node from the start, a shard gives the links of a spanning forest only,
 and components are found over tables, so no step grows with the square of a group of copies.
@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_texts, materialise
@@ -29,13 +29,12 @@ from .components import components
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-#: The trees' sample: a 4096th of the fingerprints, within these bounds (the upper one is 32 MB).
-SAMPLE, LARGEST_SAMPLE, SHARE = 1 << 16, 1 << 22, 1 << 12
+#: Fingerprints of a group that a task takes at once, on average; it holds some shards, or one.
 SHARD = 1 << 9
-#: Rows of a shard that one task compares; what is larger still, parted by both halves, is compared block by block.
+#: Rows of a group that one task compares; what is larger is dealt out again, and then compared block by block.
 BLOCK = 1 << 18
-HALVES = 2
-HALF = np.uint64(0xFFFFFFFF)
+#: Parts of a fingerprint, one more than the bits in which partners differ, and the bits of each.
+PARTS, PART_BITS, REST_BITS = MAX_BITS + 1, 16, 12
 
 
 def fingerprint(text: bytes) -> int:
@@ -121,10 +120,6 @@ class VantageTree:
         return np.concatenate([w for w, _ in done]), np.concatenate([a for _, a in done])
 
 
-def half(fps: np.ndarray, k: int) -> np.ndarray:
-    return (fps >> np.uint64(32 * k)) & HALF
-
-
 def forest(fps: np.ndarray, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links of a spanning forest of the points within max_bits of each other, by search over those not yet reached."""
     left = fps
@@ -140,83 +135,72 @@ def forest(fps: np.ndarray, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarr
                 frontier.extend(found)
 
 
-def parted(fps: np.ndarray, k: int, radius: int, size: int) -> Iterator[np.ndarray]:
-    """The fingerprints in parts by a tree over half k: any two within the radius in that half share one."""
-    which, leaf = VantageTree(half(fps, k), radius, size / 2).shards(half(fps, k))
+def parted(fps: np.ndarray, radius: int, size: int) -> Iterator[np.ndarray]:
+    """The fingerprints in parts by a tree: any two within the radius share one."""
+    which, leaf = VantageTree(fps, radius, size / 2).shards(fps)
     order = np.argsort(leaf, kind="stable")
     for part in np.split(which[order], np.flatnonzero(np.diff(leaf[order])) + 1):
         yield fps[part]
 
 
-def links_in_shard(fps: np.ndarray, k: int, max_bits: int, size: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between a shard's points; a large shard is parted further by a tree over its own half, then by one over the other."""
-    if len(fps) <= size:
-        yield from forest(fps, max_bits)
-        return
-    for part in parted(fps, k, max_bits // HALVES, size):
-        if len(part) <= size:
-            yield from forest(part, max_bits)
-        else:
-            for rest in parted(part, 1 - k, max_bits, size):
-                yield from forest(rest, max_bits)
-
-
-def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) that connect all distinct fingerprints (column fp) within max_bits of each other."""
-    spark = nodes.sparkSession
-    n = nodes.count()
-    # drawn by hash, a quarter of the rows at most; only shards depend on which, not results
-    wanted = min(max(sample, min(n // SHARE, LARGEST_SAMPLE)), n // 4)
-    few = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, n))) < wanted)
-    drawn = np.array([r[0] for r in few.select("fp").collect()], dtype=np.int64).view(np.uint64)
-    drawn.sort()
-    share = max(1.0, n / max(1, len(drawn)))
-    trees = spark.sparkContext.broadcast([VantageTree(half(drawn, k), max_bits // HALVES, max(16.0, shard / share), seed=k) for k in range(HALVES)])
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k, tree in enumerate(trees.value):
-                which, leaf = tree.shards(half(fps, k))
-                arrays = [pa.array(leaf * HALVES + k), pa.array(fps[which].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["shard", "fp"])
+def links_in_shard(fps: np.ndarray, max_bits: int, size: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between a shard's points; a large shard is parted by a tree first."""
+    for part in parted(fps, max_bits, size) if len(fps) > size else [fps]:
+        yield from forest(part, max_bits)
 
-    def by_other_half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shards = batch.column(0).to_numpy(zero_copy_only=False)
-            fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k, tree in enumerate(trees.value):
-                own = shards % HALVES == 1 - k
-                which, leaf = tree.shards(half(fps[own], k), max_bits)
-                arrays = [pa.array(shards[own][which]), pa.array(leaf + 1), pa.array(fps[own][which].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["shard", "sub", "fp"])
-
-    def over(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.groupBy(*keys).count().filter(F.col("count") > block)
-
-    rows = materialise(nodes.select("fp").mapInArrow(placed, "shard long, fp long"))
-    # a row for each leaf at most, of which the sample bounds the number
-    large = [r["shard"] for r in over(rows, "shard").collect()]
-    whole = rows.select("shard", F.lit(0).cast("long").alias("sub"), "fp")
-    if large:
-        names = spark.createDataFrame([(x,) for x in large], "shard long")
-        split = rows.join(F.broadcast(names), "shard", "left_semi").mapInArrow(by_other_half, "shard long, sub long, fp long")
-        rows = materialise(whole.join(F.broadcast(names), "shard", "left_anti").unionByName(split))
-        left = over(rows, "shard", "sub").select(F.col("shard").alias("s"), F.col("sub").alias("t"), F.ceil(F.col("count") / block).alias("n"))
-        joined = rows.join(left, (rows["shard"] == left["s"]) & (rows["sub"] == left["t"]), "left").withColumn("n", F.coalesce("n", F.lit(1)))
-        # every pair of blocks of what is large still meets once
-        joined = joined.withColumn("b", F.pmod(F.xxhash64("fp"), F.col("n"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        rows = joined.select("shard", "sub", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "fp")
+
+def quarter(k: int) -> Column:
+    """The k-th 16 bits of a fingerprint."""
+    return F.shiftrightunsigned("fp", PART_BITS * k).bitwiseAND(F.lit((1 << PART_BITS) - 1))
+
+
+def rest_part(k: Column, j: int) -> Column:
+    """The j-th 12 bits of what is left of a fingerprint without its k-th quarter."""
+    low = F.expr("fp & (shiftleft(1L, CAST(16 * k AS INT)) - 1)")
+    high = F.expr("shiftleft(shiftrightunsigned(fp, CAST(16 * k + 16 AS INT)), CAST(16 * k AS INT))")
+    rest = low.bitwiseOR(F.when(k < PARTS - 1, high).otherwise(0))  # Java takes a shift by 64 for none
+    return F.shiftrightunsigned(rest, REST_BITS * j).bitwiseAND(F.lit((1 << REST_BITS) - 1))
+
+
+def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) that connect all distinct fingerprints (column fp) within max_bits (3 at most) of each other."""
+    if max_bits >= PARTS:
+        raise ValueError(f"partners differ in {MAX_BITS} bits at most")
+    groups = max(1, min(nodes.count() // shard, 1 << PART_BITS))
+    quarters = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), quarter(k).alias("q")) for k in range(PARTS)))).alias("e")
+    # small shards go to a task in groups
+    rows = materialise(nodes.select("fp", quarters).select("fp", "e.k", "e.q", (F.col("e.q") % groups).alias("g")))
+
+    def over(some: DataFrame, *keys: str) -> DataFrame:
+        return some.groupBy(*keys).count().filter(F.col("count") > block)
+
+    zero = F.lit(0).cast("long")
+    large = materialise(over(rows, "k", "g").select(F.col("k").alias("lk"), F.col("g").alias("lg")))
+    if large.isEmpty():
+        placed = rows.select("k", "g", zero.alias("sub"), zero.alias("b1"), zero.alias("b2"), "fp")
     else:
-        rows = whole.select("shard", "sub", F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2"), "fp")
+        of_large = (rows["k"] == large["lk"]) & (rows["g"] == large["lg"])
+        whole = rows.join(large, of_large, "left_anti").select("k", "g", zero.alias("sub"), "fp")
+        again = F.explode(F.array(*(F.lit(1 + (j << REST_BITS)) + rest_part(F.col("k"), j) for j in range(PARTS))))
+        # groups of a large one are its quarters' values, behind the numbers of groups
+        split = rows.join(large, of_large, "left_semi").select("k", (F.col("q") + groups).alias("g"), again.alias("sub"), "fp")
+        dealt = materialise(whole.unionByName(split))
+        left = materialise(over(dealt, "k", "g", "sub").select(F.col("k").alias("lk"), F.col("g").alias("lg"), F.col("sub").alias("ls"), F.ceil(F.col("count") / block).alias("n")))
+        joined = dealt.join(left, (dealt["k"] == left["lk"]) & (dealt["g"] == left["lg"]) & (dealt["sub"] == left["ls"]), "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        # every pair of blocks of what is large still meets once
+        joined = joined.withColumn("b", F.pmod(F.xxhash64("fp"), F.col("n"))).withColumn("o", F.explode(F.sequence(zero, F.col("n") - 1)))
+        placed = joined.select("k", "g", "sub", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "fp")
 
     def link(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         fps = part["fp"].to_numpy().view(np.uint64)
-        found = list(links_in_shard(fps, int(key[0]) % HALVES, max_bits))
+        value = fps >> np.uint64(PART_BITS * int(key[0])) & np.uint64((1 << PART_BITS) - 1)
+        order = np.argsort(value, kind="stable")
+        shards = np.split(fps[order], np.flatnonzero(np.diff(value[order])) + 1)
+        found = [f for one in shards if len(one) > 1 for f in links_in_shard(one, max_bits)]
         u, v = (np.concatenate([f[i] for f in found]).view(np.int64) if found else np.empty(0, np.int64) for i in (0, 1))
         return pd.DataFrame({"u": u, "v": v})
 
-    return rows.groupBy("shard", "sub", "b1", "b2").applyInPandas(link, "u long, v long")
+    return placed.groupBy("k", "g", "sub", "b1", "b2").applyInPandas(link, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
