@@ -143,6 +143,12 @@ def matrix_row_echelon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(matrix.row_echelon(correlated(spark, sf_dir)))
 
 
+@query(SQL["matrix_row_echelon"])
+def matrix_row_echelon_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matrices with their rows in reverse: the largest element of the first column is last, so rows are swapped back."""
+    return rounded(matrix.row_echelon(correlated(spark, sf_dir).withColumn("RowNumber", 4 - F.col("RowNumber"))))
+
+
 @query(oracles.qr(MONTHLY))
 def matrix_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(matrix.qr_factorization(correlated(spark, sf_dir)))
