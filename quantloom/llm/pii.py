@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, let, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -63,11 +63,6 @@ SHAPES = {
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once: inside a higher-order function Spark would compute it for each element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def running(numbers: Column, join: Callable[[Column, Column], Column], run: int = 128) -> Column:
     """The numbers (ints) joined up to each place (sum, greatest), in runs: appending copies an array, so runs keep that short."""
 
@@ -195,12 +190,14 @@ def bootstrap(places: DataFrame, rounds: int = ROUNDS, min_support: float = MIN_
     for _ in range(rounds):
         sums = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"s{k}").alias(f"s{k}") for k in kinds))
         share = [F.when(F.col(f"s{k}") >= min_support, F.col(f"s{k}") / (F.col("n") + 1)).otherwise(0.0).alias(f"c{k}") for k in kinds]
-        patterns = sums.select("pattern", *share).filter(" or ".join(f"c{k} >= 0.5" for k in kinds))
+        # a table, not an aggregate on the join's key: a pattern around a third of all instances can then be split
+        patterns = materialise(sums.select("pattern", *share).filter(" or ".join(f"c{k} >= 0.5" for k in kinds)))
         # a side is trusted as its best pattern is; the sides' doubts multiply, and both at once may be one pattern
         best = lambda k, side: F.coalesce(F.max(F.when(F.col("pattern").startswith(side), F.col(f"c{k}"))), F.lit(0.0))
         trusted = [F.greatest(1 - (1 - best(k, "<")) * (1 - best(k, ">")), best(k, "=")) for k in kinds]
         shaped = [F.when(F.col("value").rlike(SHAPES[name]), t).otherwise(0.0).alias(f"t{k}") for (k, name), t in zip(enumerate(KINDS), trusted, strict=True)]
         earlier, known = known, materialise(links.filter("seed is null").join(patterns, "pattern").groupBy("value").agg(*shaped))
+        discard(patterns)
         if earlier is not None:
             discard(earlier)
         learned = [F.coalesce(F.col(f"t{k}"), trust[k]).alias(f"s{k}") for k in kinds]

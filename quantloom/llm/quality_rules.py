@@ -8,12 +8,10 @@ scan: no shuffle, no join, nothing but built-in functions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE_RUN
+from .common import WHITE_SPACE_RUN, let
 
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -48,11 +46,6 @@ SUSPECTS = (
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once: inside a higher-order function Spark would compute it for each element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
