@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quantloom import sql as surface
 from quantloom.functions import options, scalar
-from quantloom.operators import affine_scaling, interpolation, matrix, optimization, polynomial, regression, tall_qr, yields
+from quantloom.operators import affine_scaling, interpolation, krylov, matrix, optimization, polynomial, regression, tall_qr, yields
 from quantloom.operators.scans import numbered
 from quantloom.plans import oracles
 from quantloom.sources import calendar, catalogue, lookups
@@ -191,6 +191,25 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, means.select(one, (F.col("label") + 1).alias("RowNumber"), (F.col("k") + 1).alias("ColumnNumber"), "Value")
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
+g AS (SELECT a.k AS i, b.k AS j, sum(a.x * b.x) AS v FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2),
+m AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM g GROUP BY i)),
+step(t, x, y) AS (
+  SELECT 0, list_transform(m, lambda r: r[1]), list_transform(m, lambda r: r[2]) FROM m
+  UNION ALL SELECT t + 1, list_transform(y, lambda c: c / sqrt(list_dot_product(y, y))), list_transform(m, lambda r: list_dot_product(r, list_transform(y, lambda c: c / sqrt(list_dot_product(y, y))))) FROM step, m WHERE t < 2500),
+last AS (SELECT x, y, list_dot_product(x, y) AS v FROM step WHERE t = 2500),
+top AS (SELECT x, v, list_extract(x, list_position(list_transform(x, lambda c: abs(c)), list_max(list_transform(x, lambda c: abs(c))))) AS big FROM last)
+SELECT 1 AS MatrixID, 'Eigenvalue' AS Result, 1 AS RowNumber, 1 AS ColumnNumber, round(v, 4) AS Value FROM top
+UNION ALL SELECT 1, 'Q Matrix', unnest(range(1, len(x) + 1))::INTEGER, 1, round(unnest(list_transform(x, lambda c: c * sign(big))), 4) + 0.0 FROM top"""
+)
+def matrix_largest_eigenpair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the embeddings' Gram matrix, by block Krylov subspaces."""
+    rows = vectors(spark, sf_dir)[0]
+    gram = materialise(matrix.product(matrix.transpose(rows), rows))
+    return rounded(krylov.largest_eigenpairs(gram, 1, block=3, steps=18), 4)
+
+
 def distances_sql(p: int | None) -> str:
     gap = "abs(a.x - b.x)"
     distance = f"max({gap})" if p is None else f"sum({gap} ** {p}) ** (1.0 / {p})"
