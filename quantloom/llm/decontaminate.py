@@ -10,7 +10,9 @@ The search looks up the hashes of a document in the sketches of each class, whic
 negatives, and only the candidates that come out are verified, shingle by shingle and word by word.
 
 The sketches of a benchmark up to a block's size are broadcast, and documents are not shuffled.
-Those of a larger one stay a table, to which the documents' hashes are joined.
+Those of a larger one stay a table, to which the documents' hashes are joined.  There a hash that many
+items share (a template's) would lead to all of them, so an item's smallest hashes are taken from its
+others first; any so many of its hashes hold one that the document has.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, SIMILARITY, byte_texts, materialise
@@ -31,6 +33,8 @@ from .common import SHINGLE_WORDS, SIMILARITY, byte_texts, materialise
 BLOCK_BYTES = 8 << 20
 #: Bits that tell whether a hash may be in any sketch: 64 MB are broadcast, whatever the benchmark's size.
 FILTER_BITS = 1 << 29
+#: A hash that more items have than this goes into a sketch last.
+POSTINGS = 64
 #: Characters that a quotation may gain or lose.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 KNOWN_WORDS = 1 << 20
@@ -77,13 +81,19 @@ def size_class(n: int) -> int:
     return (n - 1).bit_length()
 
 
-def sketch(words: list[bytes], size: int, similarity: float) -> tuple[int, int, np.ndarray]:
-    """The class of an item, the length of its shingles, and its smallest hashes: as many as the class's largest size asks for."""
+def item_hashes(words: list[bytes], size: int, similarity: float) -> tuple[int, int, np.ndarray, int]:
+    """The class of an item, the length of its shingles, its hashes in order, and how many of them the class's largest size asks for."""
     length = min(size, len(words))
     hashes = np.unique(mixed(np.fromiter(map(WordHashes().__getitem__, words), dtype=np.uint64, count=len(words)), length))
     n = len(shingles_of(words, size))
     most = 1 << size_class(n)
-    return size_class(n), length, hashes[: most - needed(most, similarity) + 1]
+    return size_class(n), length, hashes, most - needed(most, similarity) + 1
+
+
+def sketch(words: list[bytes], size: int, similarity: float) -> tuple[int, int, np.ndarray]:
+    """The class of an item, the length of its shingles, and its smallest hashes."""
+    kind, length, hashes, asked = item_hashes(words, size, similarity)
+    return kind, length, hashes[:asked]
 
 
 def shared_shingles(words: list[bytes], item: set[tuple[bytes, ...]]) -> int:
@@ -167,6 +177,25 @@ def matcher(items: DataFrame, size: int, similarity: float):
     return matches
 
 
+def sketches_of(items: DataFrame, size: int, similarity: float) -> DataFrame:
+    """item_md5, length, hash: the sketches of items (item_md5, item_text), hashes of more than POSTINGS items last."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
+                if words := words_of(text):
+                    _, length, hashes, asked = item_hashes(words, size, similarity)
+                    n = len(hashes)
+                    columns = [pa.array([key] * n, pa.string()), pa.array([length] * n, pa.int32()), pa.array([asked] * n, pa.int32()), pa.array(hashes.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["item_md5", "length", "asked", "hash"])
+
+    every = materialise(items.select("item_md5", "item_text").mapInArrow(hashed, "item_md5 string, length int, asked int, hash long"))
+    shared = every.groupBy("hash").count().filter(F.col("count") > POSTINGS).select(F.col("hash").alias("shared"))
+    marked = every.join(shared, F.col("hash") == F.col("shared"), "left")
+    place = F.row_number().over(Window.partitionBy("item_md5").orderBy(F.col("shared").isNotNull(), "hash"))
+    return marked.withColumn("place", place).filter("place <= asked").select("item_md5", "length", "hash")
+
+
 def joined_matches(texts: DataFrame, items: DataFrame, size: int, similarity: float, filter_bits: int = FILTER_BITS) -> DataFrame:
     """md5 (of a text), item_md5, n_shingles, n_shared of all items that occur in texts (md5, text), by joins.
 
@@ -176,19 +205,7 @@ def joined_matches(texts: DataFrame, items: DataFrame, size: int, similarity: fl
     spark = texts.sparkSession
     own = materialise(items.select(F.md5("item_text").alias("item_md5"), "item_text").filter("item_text is not null").distinct())
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, hashes, lengths = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
-                if words := words_of(text):
-                    _, length, h = sketch(words, size, similarity)
-                    keys += [key] * len(h)
-                    lengths += [length] * len(h)
-                    hashes.append(h)
-            h = np.concatenate([np.empty(0, np.uint64), *hashes]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(lengths, pa.int32()), pa.array(h)], ["item_md5", "length", "hash"])
-
-    sketches = materialise(own.mapInArrow(sketched, "item_md5 string, length int, hash long"))
+    sketches = materialise(sketches_of(own, size, similarity))
     lengths = [r[0] for r in sketches.select("length").distinct().orderBy("length").collect()]  # at most ``size`` numbers
     width = filter_bits // 256
 

@@ -17,6 +17,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
+from quantloom.llm import decontaminate
 from quantloom.llm import queries as llm
 from quantloom.llm.components import components
 from quantloom.llm.decontaminate import find_contamination, remove_contaminated
@@ -140,6 +141,23 @@ def test_decontamination_is_brute_force(spark):
         assert {r["doc_id"] for r in remove_contaminated(d, i, block_bytes=block_bytes).collect()} == set(docs) - {p[0] for p in brute}
 
 
+def test_decontamination_of_items_that_share_a_template(spark):
+    rng = np.random.default_rng(5)
+    passage = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+    template = passage(14)
+    items = {k: f"{template} {passage(36)}" for k in range(150)} | {900: template, 901: f"{template} {passage(2)}"}
+    docs = {k: f"{passage(20)} {template} {passage(20)}" for k in range(80)} | {100 + k: f"{passage(9)} {items[k]} {passage(9)}" for k in range(0, 150, 5)}
+    own = spark.createDataFrame([(str(k), t) for k, t in items.items()], "item_md5 string, item_text string")
+    sketches = decontaminate.sketches_of(own, 5, 0.8).collect()
+    assert max(Counter(r["hash"] for r in sketches).values()) <= 2  # of the two that are little more than the template
+    assert {r["item_md5"] for r in sketches} == {str(k) for k in items}
+    brute = brute_contamination(docs, items)
+    assert len(brute) >= 110 + 30
+    d, i = docs_of(spark, list(docs.items())), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for block_bytes in (1 << 20, 20):
+        assert {(r["doc_id"], r["item_id"], r["n_shingles"], r["n_shared"]) for r in find_contamination(d, i, block_bytes=block_bytes).collect()} == brute
+
+
 def test_decontamination_odd_tables(spark):
     item = "one two three four five six"
     rows = [(1, f"x {item} y"), (1, f"x {item} y"), (None, item), (2, None), (3, "word " * 300_000)]
