@@ -113,3 +113,9 @@ def test_call_reads_views_and_names_its_result(session):
     assert sql.call(session, "product", left="unit", right="unit").count() == 9
     with pytest.raises(ValueError):
         sql.call(session, "no_such_routine")
+
+
+def test_blocked_routines_by_name(spark):
+    spark.createDataFrame([(1, 1, 1, 0.0), (1, 1, 2, 2.0), (1, 1, 3, 6.0), (1, 2, 1, 4.0), (1, 2, 2, 1.0), (1, 2, 3, 5.0)], "MatrixID int, RowNumber int, ColumnNumber int, Value double").createOrReplaceTempView("augmented")
+    sql.call(spark, "blocked_linear_system", "solution", m="augmented", block=1)
+    assert [r["Value"] for r in spark.sql("SELECT Value FROM solution ORDER BY ColumnNumber").collect()] == [0.5, 3.0]
