@@ -247,7 +247,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """doc_id, held_out, score, predicted of every document; repeated rows are scored alike.
 
     A null text is an empty one, a null id is in no fold (held_out false).  Other columns are
-    ignored.  Without usable labels every score is the same.
+    ignored.  Without usable labels every score is the same; no documents give no rows.
     """
     model = learn(docs, labels, id_col, text_col, label_col, max_rows, folds)
     return docs.select(
@@ -258,6 +258,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, folds: int = HELD_OUT_FOLDS) -> DataFrame:
-    """The documents, with all their columns, whose score reaches the threshold."""
+    """The documents, with all their columns, whose score reaches the threshold.
+
+    Nulls, empty texts and repeated rows are scored as in score_quality; without usable labels all stay or all go;
+    an empty table gives an empty table.
+    """
     model = learn(docs, labels, id_col, text_col, label_col, max_rows, folds)
     return docs.filter(quality_score(model, F.col(text_col)) >= threshold)
