@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators.matrix import ELEMENT, checked, shapes
 from quantloom.schemas import MATRIX, conform
-from quantloom.storage import materialise
+from quantloom.storage import discard, materialise
 
 #: Rows and columns of a block: half a megabyte.
 BLOCK = 256
@@ -211,7 +211,8 @@ def updated(rest: DataFrame, step: DataFrame, tops: DataFrame, r: int) -> DataFr
 def eliminated(m: DataFrame, n_rows: int, n_columns: int, block: int, tolerance: float, reduced: bool) -> Reduced:
     """One sound matrix in (reduced) echelon form."""
     tiny = tolerance * m.agg(F.max(F.abs("Value"))).first()[0]
-    rest = materialise(in_blocks(m, block))
+    source = rest = materialise(in_blocks(m, block))
+    held = False  # whether the result reads blocks of the source
     marks = rest.select("g").distinct().select("g", F.lit(None).cast("binary").alias("pivot"))
     blocks, steps = [], []
     rank, leading, sign, log_size = 0, 0, 1.0, 0.0
@@ -225,13 +226,16 @@ def eliminated(m: DataFrame, n_rows: int, n_columns: int, block: int, tolerance:
         own, columns = pivots_of(top, tiny)
         if not columns:  # what is left in the panel counts as zero
             blocks.append(rest.filter(F.col("j") == j))
-            rest = rest.filter(F.col("j") > j)
+            rest, held = rest.filter(F.col("j") > j), True
             continue
         rows, top = rows[own], top[own]
         step = materialise(multipliers(panel, rows, top, columns, rank, block, reduced))
         after = rest.filter(F.col("j") > j)
         if (j + 1) * block < n_columns:
             after = materialise(updated(after, step, pivot_rows(after, rows, block, n_columns), len(rows)))
+            if not held:
+                discard(source)
+            source, held = after, False
         rest = after
         marks = step.select("g", "pivot")
         steps.append(step)
