@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
 
 from quantloom.functions.scalar import ERF_COEFFICIENTS
-from quantloom.operators import blocked, interpolation, krylov, matrix, optimization, polynomial, regression, tall_qr, yields
+from quantloom.operators import blocked, interpolation, krylov, low_rank, matrix, optimization, polynomial, regression, tall_qr, yields
 from quantloom.sources import calendar, catalogue
 
 PRICE_COLUMNS = "OptionFairValue DOUBLE, Delta DOUBLE, Gamma DOUBLE, Vega DOUBLE, Theta DOUBLE, Rho DOUBLE"
@@ -240,7 +240,7 @@ ROUTINES = {
         yields.yield_to_maturity, yields.yield_to_maturity_small_batches, calendar.calendar_discrepancies, calendar.extend_calendar, catalogue.upsert_databases,
         krylov.largest_eigenpairs, tall_qr.tall_qr,
     )
-} | {f"blocked_{f.__name__}": f for f in (blocked.row_echelon, blocked.determinant, blocked.linear_system, blocked.inverse)}
+} | {f"blocked_{f.__name__}": f for f in (blocked.row_echelon, blocked.determinant, blocked.linear_system, blocked.inverse)} | {f"low_rank_{f.__name__}": f for f in (low_rank.linear_system, low_rank.determinant)}
 
 
 def register(spark: SparkSession) -> None:
