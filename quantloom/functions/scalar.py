@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 ERF_COEFFICIENTS = (
     -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277,
 )
+#: Newton's steps for a volatility before it is halved out.
+NEWTON_STEPS = 6
 
 
 def number(x: Column | float | None) -> Column:
@@ -104,8 +106,27 @@ def lognormal_to_normal_volatility(volatility: Column | float, forward: Column |
 
 
 def normal_to_lognormal_volatility(volatility: Column | float, forward: Column | float, strike: Column | float, years: Column | float, steps: int = 60) -> Column:
-    """The smallest lognormal volatility with the given normal one, by bisection; NULL if there is none up to 2**6."""
+    """The smallest lognormal volatility with the given normal one; NULL if there is none up to 2**6.
+
+    The normal volatility of x is c x / (1 + a x^2 + b x^4).  Newton's steps from v / c, where the denominator is still 1, rise to the
+    smallest root and meet it in a few steps.  Where they have not (near the largest normal volatility, or a < 0), it is halved out.
+    """
     v, f, k, t = map(number, (volatility, forward, strike, years))
+    log = F.ln(F.try_divide(f, k))
+    at_the_money = F.abs(F.try_divide(f - k, k)) < 0.001
+    c = F.when(at_the_money, F.sqrt(f * k) * (1.0 + log * log / 24.0)).otherwise(F.try_divide(f - k, log))
+    a = F.when(at_the_money, t / 24.0).otherwise((1.0 - log * log / 120.0) * t / 24.0)
+    first = F.struct(v.alias("v"), c.alias("c"), a.alias("a"), (t * t / 5760.0).alias("b"), F.try_divide(v, c).alias("x"), F.lit(None).cast("double").alias("last"))
+
+    def nearer(s: Column, _: Column) -> Column:
+        x, x2 = s["x"], s["x"] * s["x"]
+        over = s["v"] * (1.0 + x2 * (s["a"] + s["b"] * x2)) - s["c"] * x
+        slope = 2.0 * s["v"] * x * (s["a"] + 2.0 * s["b"] * x2) - s["c"]
+        return F.struct(s["v"].alias("v"), s["c"].alias("c"), s["a"].alias("a"), s["b"].alias("b"), F.when(slope < 0, x - F.try_divide(over, slope)).alias("x"), x.alias("last"))
+
+    met = lambda s: F.when((s["a"] >= 0) & (s["x"] <= 64.0) & (F.abs(s["x"] - s["last"]) <= 1e-14 * s["x"]), s["x"])
+    newton = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), first, nearer, met)
+
     of = lambda x: lognormal_to_normal_volatility(x, f, k, t)
     bounds = F.filter(F.transform(F.sequence(F.lit(-10), F.lit(6)), lambda e: F.pow(F.lit(2.0), e)), lambda x: of(x) >= v)
     high = F.get(bounds, F.lit(0))
@@ -117,4 +138,4 @@ def normal_to_lognormal_volatility(volatility: Column | float, forward: Column |
 
     start = F.struct(F.lit(0.0).alias("lo"), high.alias("hi"))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
-    return F.when((v >= 0) & (f > 0) & (k > 0) & (t > 0) & high.isNotNull(), found)
+    return F.when((v >= 0) & (f > 0) & (k > 0) & (t > 0), F.coalesce(newton, F.when(high.isNotNull(), found)))

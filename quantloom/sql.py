@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
 
-from quantloom.functions.scalar import ERF_COEFFICIENTS
+from quantloom.functions.scalar import ERF_COEFFICIENTS, NEWTON_STEPS
 from quantloom.operators import blocked, interpolation, krylov, low_rank, matrix, optimization, polynomial, regression, tall_qr, yields
 from quantloom.sources import calendar, catalogue
 
@@ -65,11 +65,19 @@ FUNCTIONS = (
     ("lognormal_to_normal_volatility(v DOUBLE, f DOUBLE, k DOUBLE, t DOUBLE)", "DOUBLE",
      f"SELECT CASE WHEN v >= 0 AND f > 0 AND k > 0 AND t > 0 THEN {NORMAL_VOLATILITY.format(x='v')} END FROM (SELECT ln(try_divide(f, k)) AS l)"),
     ("normal_to_lognormal_volatility(v DOUBLE, f DOUBLE, k DOUBLE, t DOUBLE)", "DOUBLE", f"""
-      SELECT CASE WHEN v >= 0 AND f > 0 AND k > 0 AND t > 0 AND high IS NOT NULL THEN
+      SELECT CASE WHEN v >= 0 AND f > 0 AND k > 0 AND t > 0 THEN coalesce(
+        aggregate(sequence(1, {NEWTON_STEPS}), named_struct('v', v, 'c', c, 'a', a, 'b', t * t / 5760, 'x', try_divide(v, c), 'last', CAST(NULL AS DOUBLE)),
+          (s, i) -> named_struct('v', s.v, 'c', s.c, 'a', s.a, 'b', s.b,
+            'x', CASE WHEN 2 * s.v * s.x * (s.a + 2 * s.b * s.x * s.x) < s.c THEN
+              s.x - try_divide(s.v * (1 + s.x * s.x * (s.a + s.b * s.x * s.x)) - s.c * s.x, 2 * s.v * s.x * (s.a + 2 * s.b * s.x * s.x) - s.c) END, 'last', s.x),
+          s -> CASE WHEN s.a >= 0 AND s.x <= 64 AND abs(s.x - s.last) <= 1e-14D * s.x THEN s.x END),
+        CASE WHEN high IS NOT NULL THEN
         aggregate(sequence(1, 60), named_struct('lo', 0.0D, 'hi', high, 'mid', high / 2),
           (s, i) -> named_struct('lo', CASE WHEN {NORMAL_VOLATILITY.format(x="s.mid")} < v THEN s.mid ELSE s.lo END, 'hi', CASE WHEN {NORMAL_VOLATILITY.format(x="s.mid")} < v THEN s.hi ELSE s.mid END,
-            'mid', CASE WHEN {NORMAL_VOLATILITY.format(x="s.mid")} < v THEN (s.mid + s.hi) / 2 ELSE (s.lo + s.mid) / 2 END), s -> s.mid) END
-      FROM (SELECT *, get(filter(transform(sequence(-10, 6), e -> pow(2.0D, e)), x -> {NORMAL_VOLATILITY.format(x="x")} >= v), 0) AS high FROM (SELECT ln(try_divide(f, k)) AS l))"""),
+            'mid', CASE WHEN {NORMAL_VOLATILITY.format(x="s.mid")} < v THEN (s.mid + s.hi) / 2 ELSE (s.lo + s.mid) / 2 END), s -> s.mid) END) END
+      FROM (SELECT *, get(filter(transform(sequence(-10, 6), e -> pow(2.0D, e)), x -> {NORMAL_VOLATILITY.format(x="x")} >= v), 0) AS high,
+        CASE WHEN abs((f - k) / k) < 0.001D THEN sqrt(f * k) * (1 + l * l / 24) ELSE try_divide(f - k, l) END AS c,
+        CASE WHEN abs((f - k) / k) < 0.001D THEN t / 24 ELSE (1 - l * l / 120) * t / 24 END AS a FROM (SELECT ln(try_divide(f, k)) AS l))"""),
     ("option_sign(kind STRING)", "DOUBLE", "CASE WHEN lower(kind) IN ('call', 'c') THEN 1.0D WHEN lower(kind) IN ('put', 'p') THEN -1.0D END"),
     ("polynomial_value(x DOUBLE, coefficients ARRAY<DOUBLE>, exponents ARRAY<DOUBLE>)", "DOUBLE", """
       CASE WHEN exists(exponents, e -> (x = 0 AND e < 0) OR (x < 0 AND e <> floor(e))) THEN NULL
