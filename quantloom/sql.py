@@ -137,11 +137,21 @@ class PiecewiseLinear:
         yield from self.segment()
 
 
+def best_fit(key: int | None, n: int, means: np.ndarray, centred: np.ndarray) -> tuple:
+    """id, rows, intercept and slopes from the means and covariances of y, x1, x2, ...; null unless they are unique."""
+    spread = np.sqrt(np.diag(centred)[1:].clip(0))
+    if (spread == 0).any() or np.linalg.matrix_rank(centred[1:, 1:] / np.outer(spread, spread), tol=1e-10, hermitian=True) < len(spread):
+        return key, n, None, None
+    slopes = np.linalg.solve(centred[1:, 1:], centred[1:, 0])
+    return key, n, float(means[0] - slopes @ means[1:]), slopes.tolist()
+
+
 class LeastSquares:
     """Line, or plane, of best fit through rows (id, y, x1, x2, ...): the sums of products are all that is held.
 
     Takes them PARTITION BY the id.  Sums are about the first row's values, so large values lose no digits.  Rows with a
-    null are left out.  Gives id, the number of rows, the intercept and the slopes; null unless they are unique.
+    null are left out.  Gives id, the number of rows, the intercept and the slopes; null unless they are unique.  An id is one task's:
+    for ids of many rows, take least_squares_of_moments.
     """
 
     def __init__(self) -> None:
@@ -164,14 +174,29 @@ class LeastSquares:
             return
         n = self.gram[0, 0]
         mean = self.gram[0, 1:] / n
-        centred = self.gram[1:, 1:] / n - np.outer(mean, mean)
-        spread = np.sqrt(np.diag(centred)[1:].clip(0))
-        if (spread == 0).any() or np.linalg.matrix_rank(centred[1:, 1:] / np.outer(spread, spread), tol=1e-10, hermitian=True) < len(spread):
-            yield self.key, int(n), None, None
+        yield best_fit(self.key, int(n), self.origin + mean, self.gram[1:, 1:] / n - np.outer(mean, mean))
+
+
+class LeastSquaresOfMoments:
+    """The same of rows (id, n, means, covariances, as moments() gives them), one for each id: those of an id of any size add up in all tasks."""
+
+    def eval(self, row: Any) -> Iterator[tuple]:
+        key, n, means, covariances = row[0], row[1], row[2], row[3]
+        if not n:
+            yield key, 0, None, None
             return
-        slopes = np.linalg.solve(centred[1:, 1:], centred[1:, 0])
-        middle = self.origin + mean
-        yield self.key, int(n), float(middle[0] - slopes @ middle[1:]), slopes.tolist()
+        centred = np.empty((len(means), len(means)))
+        above = np.triu_indices(len(means))
+        centred[above] = centred.T[above] = covariances
+        yield best_fit(key, n, np.array(means), centred)
+
+
+def moments(*values: str) -> str:
+    """SQL aggregates n, means and covariances (upper triangle by rows) of expressions y, x1, x2, ...; rows with a null are left out."""
+    whole = f"FILTER (WHERE {' AND '.join(f'({v}) IS NOT NULL' for v in values)})"
+    pairs = ((a, b) for i, a in enumerate(values) for b in values[i:])
+    return f"""count(*) {whole} AS n, array({', '.join(f'avg(CAST({v} AS DOUBLE)) {whole}' for v in values)}) AS means,
+      array({', '.join(f'covar_pop({a}, {b}) {whole}' for a, b in pairs)}) AS covariances"""
 
 
 class OneMatrix:
@@ -230,6 +255,7 @@ class LinearSystem(OneMatrix):
 TABLE_FUNCTIONS = {
     "piecewise_linear": (PiecewiseLinear, "ListID int, Min_X_Value double, Max_X_Value double, Slope double, Y_Intercept double"),
     "least_squares": (LeastSquares, "ListID int, NumberOfRows bigint, Intercept double, Slopes array<double>"),
+    "least_squares_of_moments": (LeastSquaresOfMoments, "ListID int, NumberOfRows bigint, Intercept double, Slopes array<double>"),
     "matrix_determinant": (Determinant, "MatrixID int, Determinant double"),
     "matrix_inverse": (Inverse, matrix.ELEMENT),
     "matrix_row_echelon": (RowEchelon, matrix.ELEMENT),
