@@ -170,13 +170,18 @@ def optimise(c: np.ndarray, work: Work, safety: float, order: int, mu: float, to
 
 
 def constraint_rows(coefficients: DataFrame, bounds: DataFrame, variables: DataFrame) -> DataFrame:
-    """id, a (by the problem's variables in order), b of every constraint; coefficients that are missing are 0."""
-    body = coefficients.filter("Value is not null").groupBy("ProblemID", "ConstraintID", "VariableID").agg(F.sum("Value").alias("Value"))
-    sparse = body.groupBy(F.col("ProblemID").alias("of"), F.col("ConstraintID").alias("i")).agg(F.map_from_entries(F.collect_list(F.struct("VariableID", "Value"))).alias("values"))
-    kept = bounds.join(sparse, same(bounds["ProblemID"], sparse["of"]) & (bounds["ConstraintID"] == sparse["i"]), "left")
-    placed = kept.join(variables, same(kept["ProblemID"], variables["id"]))
-    dense = F.transform("names", lambda name: F.coalesce(F.try_element_at("values", name), F.lit(0.0)))
-    return placed.select("id", dense.alias("a"), F.col("Value").cast("double").alias("b"))
+    """id, a (by the problem's variables in order), b of the constraints that can bind; coefficients that are missing are 0.
+
+    Of constraints with equal left sides that of the least bound implies the others, so it alone stays: the feasible points are the same.
+    """
+    place = F.when(F.col("ConstraintID").isNotNull() & F.col("VariableID").isNotNull() & F.col("Value").isNotNull(), F.struct("VariableID", F.col("Value").cast("double").alias("Value")))
+    body = coefficients.select("ProblemID", "ConstraintID", place.alias("place"), F.lit(None).cast("double").alias("b"))
+    right = bounds.select("ProblemID", "ConstraintID", F.lit(None).cast(body.schema["place"].dataType).alias("place"), F.col("Value").cast("double").alias("b"))
+    # one exchange brings a constraint's coefficients and its bound together
+    met = body.unionByName(right).groupBy(F.col("ProblemID").alias("of"), "ConstraintID").agg(F.collect_list("place").alias("places"), F.min("b").alias("b"))
+    placed = met.filter("b is not null").join(variables, same(F.col("of"), F.col("id")))
+    value = lambda name: F.aggregate(F.filter("places", lambda p: p["VariableID"] == name), F.lit(0.0), lambda total, p: total + p["Value"])
+    return placed.select("id", F.transform("names", value).alias("a"), "b").groupBy("id", "a").agg(F.min("b").alias("b"))
 
 
 def over_rows(rows: DataFrame, problem: int | None) -> Work:
